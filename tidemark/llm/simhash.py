@@ -134,10 +134,10 @@ def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Rows that repeat a kept doc_id stay only once. Rows with a null doc_id stay where nothing linked has an id.
     """
-    cols = docs.columns
-    kept = near_duplicates(docs, max_bits).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
-    return joined.dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in cols])
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    kept = near_duplicates(docs.select("doc_id", "text"), max_bits).filter("doc_id <=> component_id").select(key.alias("_key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
+    return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
