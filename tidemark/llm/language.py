@@ -9,6 +9,7 @@ cosine with it.
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,12 @@ class Encoder:
         return total.astype(np.float64) / norm if has_letter(text) else None
 
 
+@cache
+def encoder_of(dimensions: int) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(dimensions)
+
+
 def has_letter(text: str) -> bool:
     return any(unicodedata.category(c)[0] == "L" for c in text)
 
@@ -101,7 +108,7 @@ def prototypes(docs: DataFrame, texts_a_language: int = TEXTS_A_LANGUAGE, dimens
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share[F.col("lang")])
 
     def run(batches):
-        encoder, sums = Encoder(dimensions), {}
+        encoder, sums = encoder_of(dimensions), {}
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist()):
                 v = encoder.vector(text.as_py())
@@ -131,7 +138,7 @@ def classify(docs: DataFrame, langs: list[str], vectors: np.ndarray, sharpness:
     names = np.array(langs, object)
 
     def run(batches):
-        encoder = Encoder(vectors.shape[1])
+        encoder = encoder_of(vectors.shape[1])
         for b in batches:
             pred, score = [], []
             for text in b.column(b.num_columns - 1):

@@ -111,7 +111,9 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
     """(number, label, keyword, expression, priority, confidence), in order: every form of every name."""
     out = []
     for label, keyword, name in NAMES:
-        for _, form, priority, confidence in FORMS:
+        for kind, form, priority, confidence in FORMS:
+            if kind == "named" and "(?: license)?" in name:  # the word stands within the name, before its version
+                form = "(?:the )?{name}"
             out.append((len(out), label, keyword, f" {form.format(name=f'(?:{name})')}(?= )", priority, confidence))
     return out
 

@@ -9,6 +9,7 @@ a bounded number of items, since the number of partitions follows the number of
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,20 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k"
 ITEMS_A_TASK = 40_000
 SLACK = 2
-MOST_CACHED = 300_000
+MOST_CACHED = 600_000
 #: Texts of only these characters can be split with classes spelled out, which is several times faster.
 PLAIN = r"[\t\n\v\f\r\x20-\x7e\xa0-\xff]*"
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 PLAIN_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 up."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class TokenBytes(dict):
     """Token ids of a text as little-endian 32-bit numbers; a word met before is looked up.
 
@@ -44,12 +52,14 @@ class TokenBytes(dict):
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
         self.words, self.plain, self.any = re.compile(PLAIN_SPLIT), re.compile(PLAIN), regex.compile(public_tokenizers.PATTERN)
+        self.byte_letters = byte_letters()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MOST_CACHED:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_letters)
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -61,6 +71,12 @@ class TokenBytes(dict):
         return b"".join(map(self.__getitem__, split.findall(text)))
 
 
+@cache
+def token_bytes(vocabulary: str) -> TokenBytes:
+    """One encoder for all tasks of a worker process."""
+    return TokenBytes(vocabulary)
+
+
 def cuts(total: int, size: int = SIZE) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document: whole ones at the end, the rest of the division first."""
     first = total % size or min(total, size)
@@ -72,7 +88,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokens = TokenBytes(vocabulary)
+        tokens = token_bytes(vocabulary)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
