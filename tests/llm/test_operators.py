@@ -108,6 +108,20 @@ def test_line_dedup(spark, docs):
     assert gone and got == {i: "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[i]) for i, t in rows.items()}
 
 
+def test_line_dedup_long_lists(spark):
+    """Lists that are longer than a batch and than LONG_LIST, with lines near the first ones and near later ones only."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(w for j, w in enumerate(words) if j not in {(i * k) % 41 for k in range(3, 4 + i % 9)}), "en", "s", 0) for i in range(400)]
+    both = spark.createDataFrame(rows + [(400 + i, t, *r) for i, t, *r in rows[::7]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = texts(line_dedup.dedup_lines(both))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    gone = brute_lines(texts(both))
+    assert 0 < sum(map(len, gone.values())) < 457 and got == {i: "" if gone[i] else t for i, t in texts(both).items()}
+
+
 def test_line_dedup_odd(odd):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == 10 and {c for c in odd.columns} <= set(got[0].asDict())
