@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from tidemark.llm import line_dedup
+from tidemark.llm import html_text, line_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,3 +39,10 @@ def test_line_dedup_short_lines(spark, docs, tmp_path):
     assert [want[10_000 + i] for i in range(4)] == ["Home\nSee also\n\none two three", "\nalso\none two four", "a b c d\na b c\n  ", "a b d"]
     assert texts(line_dedup.op3_line_dedup(spark, str(tmp_path))) == want
     assert texts(corpus_pipeline.line_dedup_stage(spark, both, str(tmp_path))) == want
+
+
+def test_html_surge_and_dive_around_article():
+    links = "".join(f"<p><a href=/{i}>Read more of this, part {i}</a></p>" for i in range(4))
+    intro, late = "An introduction stands before the marked part. " * 3, "A long closing part stands after the marked part. " * 3
+    page = f"<body><p>Stub.</p>{links}<p>{intro}</p><article><h1>Head</h1><p>Text.</p></article>{links}<p>Stray.</p>{links}<main><p>M</p></main>{links}<p>{late}</p>{links}<p>End.</p>"
+    assert html_text.main_text(page).split("\n") == [intro.strip(), "Head", "Text.", "M", late.strip()]

@@ -2,8 +2,8 @@
 
 Markup is stripped into lines, one for each block of the page, with the parts that are never main text left out. Each
 line weighs as many characters as it has outside links. Sums over sliding windows of lines rise at a surge point, where
-the main text begins, and fall to nothing at a dive point, where it ends; the lines between are kept. Where the page
-marks its article or main part, only lines within it count, all of their characters do, and any text is a surge.
+the main text begins, and fall to nothing at a dive point, where it ends; the lines between are kept. Lines that the
+page marks as its article or main part weigh more: all of their characters count, and at least as many as make a surge.
 """
 
 from __future__ import annotations
@@ -144,15 +144,13 @@ def spans(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[in
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a page, a line for each block; empty for a null or empty page."""
     found = lines(page or "")
-    inside = [(t, len(t)) for t, _, kept in found if kept]
-    rows = inside or [(t, 0 if RIGHTS.match(t) else n) for t, n, _ in found]
-    weights = [n for _, n in rows]
+    weights = [max(len(t), surge) if kept else 0 if RIGHTS.match(t) else n for t, n, kept in found]
     if not any(weights):
         return ""
-    least = 1 if inside else min(surge, max(sum(weights[j : j + window]) for j in range(len(weights))) // 2 or 1)
-    parts = [(a, b, sum(weights[a : b + 1])) for a, b in spans(weights, least, window)]
-    most = max((n for *_, n in parts), default=0)
-    return "\n".join(t for a, b, n in parts if inside or n >= LEAST_SHARE * most for t, _ in rows[a : b + 1])
+    least = min(surge, max(sum(weights[j : j + window]) for j in range(len(weights))) // 2 or 1)
+    parts = [(a, b, sum(weights[a : b + 1]), any(kept for *_, kept in found[a : b + 1])) for a, b in spans(weights, least, window)]
+    most = 0 if any(kept for *_, kept in parts) else max((n for *_, n, _ in parts), default=0)
+    return "\n".join(t for a, b, n, _ in parts if n >= LEAST_SHARE * most for t, *_ in found[a : b + 1])
 
 
 def extract(pages: DataFrame) -> DataFrame:
