@@ -1,9 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
+import re
 from collections import defaultdict
 
 import corpus_pipeline
-from tidemark.llm import html_text, line_dedup
+from tidemark.llm import html_text, license_scan, line_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -46,3 +47,27 @@ def test_html_surge_and_dive_around_article():
     intro, late = "An introduction stands before the marked part. " * 3, "A long closing part stands after the marked part. " * 3
     page = f"<body><p>Stub.</p>{links}<p>{intro}</p><article><h1>Head</h1><p>Text.</p></article>{links}<p>Stray.</p>{links}<main><p>M</p></main>{links}<p>{late}</p>{links}<p>End.</p>"
     assert html_text.main_text(page).split("\n") == [intro.strip(), "Head", "Text.", "M", late.strip()]
+
+
+def test_license_without_the_word(spark, docs):
+    cases = {
+        "Released under GPL v2": "gpl-2.0",
+        "distributed under the BSD 3-Clause": "bsd-3-clause",
+        "available under\nApache 2.0": "apache-2.0",
+        "Covered under the terms of the MIT.": "mit",
+        "Built on Apache 2.0": "apache-2.0",
+        "common library server in general, under the font": "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(df).collect()}
+    assert {i: x for i, (x, _) in got.items()} == dict(enumerate(cases.values())) and got[0][1] == got[1][1] == 0.98
+    # every rule on every text, no words asked for first
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    compiled = [(n, re.compile(e)) for n, _, _, e, _, _ in license_scan.rules()]
+    both = docs.select("doc_id", "text").union(df.selectExpr("doc_id + 10000", "text"))
+    want = defaultdict(set)
+    for i, text in texts(both).items():
+        line = f" {' '.join(re.findall(license_scan.WORD, text.translate(low)))} "
+        want[i] = {n for n, e in compiled if e.search(line)}
+    tried = license_scan.detections(both).collect()
+    assert all(r.rule in want[r.doc_id] for r in tried) and {r.doc_id for r in tried} == {i for i, x in want.items() if x}

@@ -1,13 +1,14 @@
 """License scans with ordered signature rules, by DataFrame functions only.
 
 A rule is a regular expression over a text's words joined by single spaces, with a keyword that must be among the
-words before the expression is tried, a priority, a label and a confidence. Detections that lie within one of a higher
+words before the expression is tried, as must any word that its form asks for, a priority, a label and a confidence. Detections that lie within one of a higher
 priority, or within a longer or earlier one of their own priority, are suppressed. The base phrases are counted apart
 and are never suppressed.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,8 +120,15 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
 
 
 def _rule_table(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"({n}, '{label}', '{kw}', r'{exp}', {p}, double({c}))" for n, label, kw, exp, p, c in rules())
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule, label, keyword, expression, priority, confidence)")
+    rows = ", ".join(f"({n}, '{label}', '{kw}', r'{exp}', {p}, double({c}), {_also(exp)})" for n, label, kw, exp, p, c in rules())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule, label, keyword, expression, priority, confidence, also)")
+
+
+def _also(expression: str) -> str:
+    """Words of which a text must have one for the expression to match, as SQL; none where it can match without."""
+    if ") under (?:" in expression:
+        return "array('under')"
+    return "array('license', 'licence')" if re.search(rf" {re.escape(_L)}(?!\)\?)", expression) else "cast(array() as array<string>)"
 
 
 def _lower(text: Column) -> Column:
@@ -138,12 +146,12 @@ def detections(docs: DataFrame) -> DataFrame:
     once for each of them and give equal detections.
     """
     text = F.coalesce("text", F.lit(""))
-    gated = docs.select("doc_id", "text").filter(F.lower("text").contains("licen") | F.lower("text").contains("cc0"))
-    worded = gated.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(_lower(text)).alias("words"))
+    worded = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(_lower(text)).alias("words"))
     keywords = sorted({r[2] for r in rules()})
     found = worded.withColumn("keyword", F.explode(F.array_intersect("words", F.array(*[F.lit(k) for k in keywords]))))
     # a table of a few hundred rules, whatever the input
-    tried = found.join(F.broadcast(_rule_table(docs.sparkSession)), "keyword").withColumn("line", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    rules_of = F.broadcast(_rule_table(docs.sparkSession))
+    tried = found.join(rules_of, "keyword").filter((F.size("also") == 0) | F.arrays_overlap("words", "also")).drop("also").withColumn("line", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
     hit = tried.withColumn("hits", F.regexp_extract_all("line", F.col("expression"), F.lit(0))).filter(F.size("hits") > 0)
     parts = hit.withColumn("gaps", F.split("line", F.col("expression"), -1))
     flat = parts.select("doc_id", "text_hash", "rule", "label", "priority", "confidence", F.posexplode(F.arrays_zip("hits", "gaps")).alias("at", "x"))
