@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from tidemark.llm import html_text, license_scan, line_dedup
+from tidemark.llm import html_text, license_scan, line_dedup, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -71,3 +71,15 @@ def test_license_without_the_word(spark, docs):
         want[i] = {n for n, e in compiled if e.search(line)}
     tried = license_scan.detections(both).collect()
     assert all(r.rule in want[r.doc_id] for r in tried) and {r.doc_id for r in tried} == {i for i, x in want.items() if x}
+
+
+def test_simhash_null_and_repeated_ids(spark):
+    made = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(8)]
+    prints = [simhash.fingerprint(t.encode()) for t in made]
+    assert min((a ^ b).bit_count() for i, a in enumerate(prints) for b in prints[:i]) > 4
+    rows = [(None, 0), (None, 1), (None, 2), (None, 2), (7, 3), (7, 4), (7, 4), (3, 5), (7, 5), (None, 5), (9, 6), (9, 0), (None, 7)]
+    df = spark.createDataFrame([(i, made[t], n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int")
+    got = simhash.one_of_each(df).collect()
+    want = [(None, 1), (None, 2), (None, 7), (3, 5), (7, 3), (7, 4), (9, 0), (9, 6)]
+    assert sorted((r.doc_id or 0, made.index(r.text)) for r in got) == sorted((i or 0, t) for i, t in want)
+    assert all((r.doc_id, made.index(r.text)) == rows[r.n] for r in got)

@@ -132,11 +132,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs without the documents whose group has one with a smaller doc_id; every column is kept.
 
-    Rows that repeat a kept doc_id stay only once. Rows with a null doc_id stay where nothing linked has an id.
+    One row of each group stays: that with the least doc_id (null last), then the least hash of its text. Rows that
+    share a doc_id, or have none, are told apart by their texts and stay where nothing links them.
     """
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    kept = near_duplicates(docs.select("doc_id", "text"), max_bits).filter("doc_id <=> component_id").select(key.alias("_key")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash")).alias("_key")
+    kept = near_duplicates(docs.select(key, "text"), max_bits, "_key").filter("doc_id <=> component_id").select(F.col("doc_id").alias("_key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key)
     return rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
