@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from tidemark.llm import html_text, license_scan, line_dedup, simhash
+from tidemark.llm import html_text, license_scan, line_dedup, mixing, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -83,3 +83,12 @@ def test_simhash_null_and_repeated_ids(spark):
     want = [(None, 1), (None, 2), (None, 7), (3, 5), (7, 3), (7, 4), (9, 0), (9, 6)]
     assert sorted((r.doc_id or 0, made.index(r.text)) for r in got) == sorted((i or 0, t) for i, t in want)
     assert all((r.doc_id, made.index(r.text)) == rows[r.n] for r in got)
+
+
+def test_mixing_capitals_beyond_the_start():
+    low, high = "quiet words " * 1_000, "LOUD WORDS " * 3_000
+    assert "\x00capitals" in mixing.parts(low + high) and "\x00capitals" not in mixing.parts(high[:11_000] + low * 4)
+    model = mixing.Domains(["good", "poor"], {"\x00capitals": 0}, mixing.np.array([[-2.0, 2.0]]), mixing.np.zeros(2))
+    assert model.chances(low + high)[1] > 0.9 and model.chances(high[:11_000] + low * 4)[1] == 0.5
+    for t in ("", "1 2", "aB", "ABc", "ÄÖü é", "ÄÖÜ straße", "日本 AB", "Ⅷ\U0001d400 x", "\ud800A"):
+        assert mixing.mostly_capitals(t) == (sum(map(str.isupper, t)) * 2 > sum(map(str.isalpha, t)) > 0)

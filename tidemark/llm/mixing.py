@@ -10,6 +10,7 @@ vectors; no step writes rates or moves documents.
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ FEATURES = 1_500
 LEAST_DOCS = 5
 STEPS = 40
 TOLERANCE = 1e-6
+ASCII = bytes(range(128))
+CAPITALS, LETTERS = (x.encode() for x in (string.ascii_uppercase, string.ascii_letters))
 PART = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -33,11 +36,20 @@ def parts(text: str | None) -> set[str]:
     """The words and runs of signs of a text, and whether most of its letters are capitals."""
     text = text or ""
     out = set(PART.findall(text.lower()))
-    if sum(map(str.isupper, text[:10_000])) * 2 > sum(map(str.isalpha, text[:10_000])) > 0:
+    if mostly_capitals(text):
         out.add("\x00capitals")
     return out
 
 
+def mostly_capitals(text: str) -> bool:
+    """Whether more than half of the letters are capitals; only characters beyond ASCII are looked at one by one."""
+    raw = text.encode("utf-8", "surrogatepass")
+    other = raw.translate(None, ASCII).decode("utf-8", "surrogatepass")
+    capitals = len(raw) - len(raw.translate(None, CAPITALS)) + sum(map(str.isupper, other))
+    letters = len(raw) - len(raw.translate(None, LETTERS)) + sum(map(str.isalpha, other))
+    return capitals * 2 > letters > 0
+
+
 class Domains:
     """The classifier: chances of each domain from the features present, which share the value 1."""
 
