@@ -92,3 +92,11 @@ def test_mixing_capitals_beyond_the_start():
     assert model.chances(low + high)[1] > 0.9 and model.chances(high[:11_000] + low * 4)[1] == 0.5
     for t in ("", "1 2", "aB", "ABc", "ÄÖü é", "ÄÖÜ straße", "日本 AB", "Ⅷ\U0001d400 x", "\ud800A"):
         assert mixing.mostly_capitals(t) == (sum(map(str.isupper, t)) * 2 > sum(map(str.isalpha, t)) > 0)
+
+
+def test_html_unmarked_article_in_two_parts():
+    links = "".join(f"<li><a href=#{i}>Part {i} of the contents</a></li>" for i in range(5))
+    first, second = "Only a short part comes before the list of contents, with just two sentences. It is text all the same.", "The long part goes on. " * 60
+    for a, b in ((first, second), (second, first)):
+        page = f"<body><div><p>{a}</p><ul>{links}</ul><p>{b}</p></div><ul>{links}</ul><p>Stray.</p>"
+        assert html_text.main_text(page).split("\n") == [a.strip(), b.strip()]

@@ -19,7 +19,6 @@ from tidemark.llm.common import table
 
 WINDOW = 3
 SURGE = 80
-LEAST_SHARE = 0.25
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -148,9 +147,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not any(weights):
         return ""
     least = min(surge, max(sum(weights[j : j + window]) for j in range(len(weights))) // 2 or 1)
-    parts = [(a, b, sum(weights[a : b + 1]), any(kept for *_, kept in found[a : b + 1])) for a, b in spans(weights, least, window)]
-    most = 0 if any(kept for *_, kept in parts) else max((n for *_, n, _ in parts), default=0)
-    return "\n".join(t for a, b, n, _ in parts if n >= LEAST_SHARE * most for t, *_ in found[a : b + 1])
+    return "\n".join(t for a, b in spans(weights, least, window) for t, *_ in found[a : b + 1])
 
 
 def extract(pages: DataFrame) -> DataFrame:
