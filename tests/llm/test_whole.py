@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from tidemark.llm import html_text, license_scan, line_dedup, mixing, simhash
+from tidemark.llm import html_text, license_scan, line_dedup, mixing, packing, simhash
 
 DATA = "/root/testdata/sf0.001"
 
@@ -100,3 +101,54 @@ def test_html_unmarked_article_in_two_parts():
     for a, b in ((first, second), (second, first)):
         page = f"<body><div><p>{a}</p><ul>{links}</ul><p>{b}</p></div><ul>{links}</ul><p>Stray.</p>"
         assert html_text.main_text(page).split("\n") == [a.strip(), b.strip()]
+
+
+def test_pipeline(spark, monkeypatch):
+    """run() stores each stage's result; each stage against brute force on what the one before it left."""
+    seen = {}
+
+    def noted(name, stage):
+        def call(spark, docs, sf_dir):
+            seen[name] = docs
+            return stage(spark, docs, sf_dir)
+
+        return name, call
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [noted(*s) for s in corpus_pipeline.STAGES])
+    packed = corpus_pipeline.run(spark, DATA)
+    names = list(seen)
+    assert names == ["language_id", "line_dedup", "simhash_near_dedup", "mixing", "best_fit_packing"]
+    for df in [*[seen[n] for n in names[1:]], packed]:
+        assert df.inputFiles() and all("/stored-" in f for f in df.inputFiles())
+    into = {n: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()] for n, df in seen.items()}
+    assert sorted(into["line_dedup"]) == sorted((i, t) for i, t in into["language_id"] if t and any(map(str.isalpha, t)))
+    assert dict(into["simhash_near_dedup"]) == every_line(dict(into["line_dedup"]))
+    assert all(r.n_chars == len(r.text) for r in seen["simhash_near_dedup"].collect())
+    prints, root = {i: simhash.fingerprint(t.encode()) for i, t in into["simhash_near_dedup"]}, {}
+    for i in sorted(prints):
+        if i not in root:  # all that a chain of links reaches from the least id
+            todo = [i]
+            while todo:
+                at = todo.pop()
+                root[at] = i
+                todo += [j for j in prints if j not in root and j not in todo and (prints[at] ^ prints[j]).bit_count() <= 4]
+    assert sorted(into["mixing"]) == sorted((i, t) for i, t in into["simhash_near_dedup"] if root[i] == i)
+    out, domains = mixing.mix(seen["mixing"].select("doc_id", "text"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    rows = out.collect()
+    p, tokens, rate = (mixing.np.array([getattr(r, c) for r in rows]) for c in ("_chances", "_tokens", "_rate"))
+    share = mixing.np.array([mixing.TARGETS[d] for d in domains])
+    assert mixing.np.allclose(tokens, [len(r.text.split()) for r in rows])
+    assert mixing.np.allclose((p * (tokens * rate)[:, None]).sum(0) / tokens.sum(), share / share.sum(), atol=1e-3)
+    assert all(r._copies in (int(r._rate), int(r._rate) + 1) for r in rows)
+    assert Counter(into["best_fit_packing"]) == +Counter({(r.doc_id, r.text): r._copies for r in rows})
+    tokenizer, want, fill = packing.TokenBytes().tokenizer, Counter(), Counter()
+    for (i, text), n in Counter(into["best_fit_packing"]).items():
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [2]
+        ends = range(len(ids), 0, -1024)  # the first piece takes the rest of the division
+        for start, end in ((max(0, e - 1024), e) for e in ends):
+            want[i, start, end - start, zlib.crc32(mixing.np.array(ids[start:end], "<u4").tobytes())] += n
+    pieces = packed.collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in pieces) == want
+    for r in pieces:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024
