@@ -20,8 +20,11 @@ def to_processed(df: DataFrame, kind: str) -> DataFrame:
 
 
 def to_alerts(df: DataFrame) -> DataFrame:
-    """Alerts in order of detected_at in one partition, as one broker partition keeps them. Alerts only: few rows."""
-    return to_messages(df.coalesce(1).sortWithinPartitions("detected_at", "symbol", "kind"))
+    """Alerts in order of detected_at in one partition, as one broker partition keeps them. Alerts only: few rows.
+
+    They are moved there by a shuffle; what finds the alerts keeps its own tasks.
+    """
+    return to_messages(df.repartition(1).sortWithinPartitions("detected_at", "symbol", "kind"))
 
 
 def upsert(df: DataFrame, path: str, keys: list[str], time: str = "timestamp") -> None:
