@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,35 +17,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one for tests where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of its own in local mode, as in tests."""
+    folder, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if folder is None and sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return folder or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, for tables that loops rebuild."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs: Spark deletes them once the driver's JVM has collected the plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin within leave no shuffle files when they have ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: used several times, computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that stored() wrote and that nothing needs any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/stored-" in folder:
+                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
@@ -52,7 +65,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     met by grouped minima and an equi-join, never by gathering a neighbourhood.
     """
     work = edges.select("a", "b").filter("a <> b")
-    work = cut(work.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    work = stored(work.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(max_rounds):
         both = work.union(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -61,9 +74,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        work = cut(small.filter("a <> b").distinct())
-        release(work.sparkSession)
-        seen = work.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        old, work = work, stored(small.filter("a <> b").distinct())
+        dropped(old)
+        with tidy(work.sparkSession):
+            seen = work.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (seen.n, seen.s) == before:
             break
         before = (seen.n, seen.s)
