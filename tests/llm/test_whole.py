@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import html_text, license_scan, line_dedup, mixing, packing, simhash
+from tidemark.llm import html_text, language, license_scan, line_dedup, mixing, packing, simhash, toxicity
 from tidemark.sources import writers
 
 DATA = "/root/testdata/sf0.001"
@@ -165,3 +165,59 @@ def test_alerts_are_found_in_many_tasks(spark):
     got = [(int(re.search(r'"detected_at":(\d+)', r.value)[1]), re.search(r'"task":(\d+)', r.value)[1]) for r in out.collect()]
     assert out.rdd.getNumPartitions() == 1 and [at for at, _ in got] == list(range(100, 4_001, 100))
     assert {task for _, task in got} == {"0", "1", "2", "3"}
+
+
+def test_language_accepts_all_where_nothing_is_learned(spark, docs):
+    rows = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id bigint, text string, lang string")
+    assert language.accepted(rows).count() == 2
+    learned = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(10_001, "ᚠᚢᚦ ᚨᚱᚲ ᚷᚹᚺ ᚾᛁᛃ", None), (10_002, "12 34", None)], "doc_id bigint, text string, lang string"))
+    kept = {r.doc_id for r in language.accepted(learned).collect()}
+    assert not kept & {10_001, 10_002} and kept == {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
+    only = language.accepted(learned, languages={"de"})
+    assert 0 < only.count() < len(kept)
+
+
+def test_language_vectors_of_many_trigrams():
+    """Beyond what is held, and over several slices, a vector is the plain sum of its trigrams' vectors."""
+    e = language.Encoder(64)
+    text = "".join(chr(0x4E00 + (i * i) % 20_000) for i in range(language.MOST_TRIGRAMS + 5_000)) + " ab ab"
+    want, units = mixing.np.zeros(64), [ord(c) for c in f" {text} "]
+    for a, b, c in zip(units, units[1:], units[2:]):
+        want += mixing.np.roll(e.letter(a), 2).astype(int) * mixing.np.roll(e.letter(b), 1) * e.letter(c)
+    for _ in range(2):
+        assert mixing.np.allclose(e.vector(text), want / mixing.np.linalg.norm(want), atol=1e-5)
+    assert len(e.rows) <= language.MOST_TRIGRAMS and len(e.letters) <= language.MOST_LETTERS + 1
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i % 40}") for i in range(3_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] * 3, "doc_id bigint, quality int, toxic int")
+    assert mixing.labelled(docs, labels, 10).count() == 10 and toxicity.training_rows(docs, labels, 10).count() == 10
+    got = sorted(r.text for r in toxicity.training_rows(docs, labels).collect())
+    assert got == sorted(min(f"text {i}", f"text {i + 20}") for i in range(20))
+
+
+def test_line_dedup_index():
+    """Two lines of the least similarity meet under a key: the words of a prefix, or one of enough adjacent pairs."""
+    rng = mixing.np.random.default_rng(4)
+    for threshold in (0.7, 0.8, 0.9):
+        sizes = mixing.np.arange(3, 3_000)
+        paired = sizes >= threshold * (sizes + 1) - 1e-9
+        for rare in (0, 1, 2, 5, 20):
+            use = paired & (rare <= line_dedup.most_missing(sizes, threshold))
+            assert (line_dedup.adjacent_pairs(sizes, rare, threshold)[use] <= (sizes - rare - 1)[use]).all()
+        rank = mixing.np.arange(1 << 21, dtype=mixing.np.int32)
+        for _ in range(400):
+            n = int(rng.integers(4, 60))
+            m = int(rng.integers(n, int(n / threshold) + 1))
+            shared = int(mixing.np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9))
+            if shared > n or shared == n == m:
+                continue
+            words = rng.permutation(1 << 21)[: n + m - shared].astype(mixing.np.uint64)
+            x, y = words[:n], mixing.np.concatenate((words[:shared], words[n:]))
+            ranks = line_dedup.Ranks(rank, 0, int(rng.integers(0, 1 << 21)))
+            keys = [line_dedup.prefix_keys(line_dedup.ordered_sets(mixing.np.array([len(s)]), s, rank), ranks, threshold)[0] for s in (x, y)]
+            found = {k >> line_dedup.POS_BITS: k for k in keys[0].tolist()}
+            places = [(found[k >> line_dedup.POS_BITS], k) for k in keys[1].tolist() if k >> line_dedup.POS_BITS in found]
+            low = (1 << line_dedup.POS_BITS) - 1
+            assert any((a & low) + (b & low) <= n + m - 2 * shared for a, b in places)

@@ -20,63 +20,84 @@ from tidemark.llm.common import table
 
 DIMENSIONS = 512
 SHARPNESS = 20.0
-CHUNK = 500_000
-MOST_TRIGRAMS = 40_000
+#: So many places of a text are looked at at once, and so many trigrams are held, by their vectors or while they are made.
+CHUNK = 1 << 18
+MOST_TRIGRAMS = 16_384
+SLICE = 2_048
+MOST_LETTERS = 4_096
+#: Languages that are learned: at most so many, those with the most texts.
+MOST_LANGUAGES = 1_000
 #: At most about this many texts of each language are learned from.
 TEXTS_A_LANGUAGE = 3_000
+#: accepted() rejects a text of a lower score: one that is about as like several languages, thus like none of them.
+LEAST_SCORE = 0.4
 UNKNOWN = "und"
 
 
 class Encoder:
-    """Text vectors. Letter vectors follow from the code point alone, so all workers agree."""
+    """Text vectors. Letter vectors follow from the code point alone, so all workers agree.
+
+    Holds the vectors of at most MOST_TRIGRAMS trigrams and MOST_LETTERS letters: 34 MB at 512 dimensions.
+    """
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.d = dimensions
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.matrix = np.empty((1024, dimensions), np.float32)
+        self.matrix = np.empty((MOST_TRIGRAMS, dimensions), np.float32)
         #: for each UTF-16 unit: itself for a letter (surrogates count as letters), else a space
         self.code = np.array([c if chr(c).isalpha() or 0xD800 <= c < 0xE000 else 32 for c in range(65_536)], np.uint16)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
+            if len(self.letters) >= MOST_LETTERS:
+                self.letters.clear()
             self.letters[code] = np.random.default_rng(code).integers(0, 2, self.d).astype(np.int8) * 2 - 1
         return self.letters[code]
 
-    def row(self, gram: int) -> int:
-        at = self.rows.get(gram)
-        if at is None:
-            at = self.rows[gram] = len(self.rows)
-            if at >= len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.empty_like(self.matrix)])
-            a, b, c = gram >> 32, gram >> 16 & 0xFFFF, gram & 0xFFFF
-            self.matrix[at] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
-        return at
+    def made(self, grams: np.ndarray) -> np.ndarray:
+        """The vectors of trigrams, a row each."""
+        out = np.ones((len(grams), self.d), np.int8)
+        for turn, shift in ((2, 32), (1, 16), (0, 0)):
+            codes, at = np.unique(grams >> np.uint64(shift) & np.uint64(0xFFFF), return_inverse=True)
+            out *= np.stack([np.roll(self.letter(c), turn) for c in codes.tolist()])[at]
+        return out.astype(np.float32)
+
+    def bundled(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sum of the trigrams' vectors, each as often as counted."""
+        total = np.zeros(self.d, np.float32)
+        for i in range(0, len(grams), SLICE):
+            some, n = grams[i : i + SLICE], counts[i : i + SLICE].astype(np.float32)
+            at = np.fromiter((self.rows.get(g, -1) for g in some.tolist()), np.int64, len(some))
+            new = at < 0
+            if new.any():
+                vectors = self.made(some[new])
+                total += n[new] @ vectors
+                if len(self.rows) + len(vectors) <= MOST_TRIGRAMS:
+                    first = len(self.rows)
+                    self.matrix[first : first + len(vectors)] = vectors
+                    self.rows.update(zip(some[new].tolist(), range(first, first + len(vectors))))
+            if not new.all():
+                total += n[~new] @ self.matrix[at[~new]]
+        return total
 
     def vector(self, text: str | None) -> np.ndarray | None:
         """The unit vector of a text; None where there is no letter."""
-        total = None
         text = (text or "").lower()
-        for at in range(0, len(text), CHUNK):
-            units = np.frombuffer(f" {text[at : at + CHUNK]} ".encode("utf-16-le", "surrogatepass"), np.uint16)
-            code = self.code[units]
-            letter = code != 32
-            if not letter.any():
-                continue
-            keep = letter.copy()
-            keep[1:] |= letter[:-1]  # one space after a run of letters, and the first one
-            keep[0] = True
-            code = code[keep].astype(np.uint64)
-            grams, counts = np.unique(code[:-2] << np.uint64(32) | code[1:-1] << np.uint64(16) | code[2:], return_counts=True)
-            if len(self.rows) > MOST_TRIGRAMS:
-                self.rows.clear()
-            rows = [self.row(g) for g in grams.tolist()]
-            part = counts.astype(np.float32) @ self.matrix[rows]
-            total = part if total is None else total + part
-        norm = 0.0 if total is None else float(np.linalg.norm(total))
-        if not norm:
-            return None if total is None or not has_letter(text) else np.zeros(self.d)
-        return total.astype(np.float64) / norm if has_letter(text) else None
+        code = self.code[np.frombuffer(f" {text} ".encode("utf-16-le", "surrogatepass"), np.uint16)]
+        letter = code != 32
+        if not letter.any() or not has_letter(text):
+            return None
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # one space after a run of letters, and the first one
+        keep[0] = True
+        code, total = code[keep], np.zeros(self.d)
+        for at in range(0, len(code) - 2, CHUNK):
+            part = code[at : at + CHUNK + 2].astype(np.uint64)
+            grams, counts = np.unique(part[:-2] << np.uint64(32) | part[1:-1] << np.uint64(16) | part[2:], return_counts=True)
+            total += self.bundled(grams, counts)
+        norm = float(np.linalg.norm(total))
+        return total / norm if norm else total
 
 
 @cache
@@ -100,7 +121,7 @@ def prototypes(docs: DataFrame, texts_a_language: int = TEXTS_A_LANGUAGE, dimens
     the workers.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return [], np.zeros((0, dimensions))
     million = 1_000_000
@@ -166,12 +187,18 @@ def identify(docs: DataFrame) -> DataFrame:
     return classify(base.select("doc_id", "held_out", "text"), langs, vectors).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs without those whose language is unknown or has a score under least; every column is kept."""
+def accepted(docs: DataFrame, least: float = LEAST_SCORE, languages: set[str] | None = None) -> DataFrame:
+    """docs without those that are rejected: language unknown, score under least, or not among languages (None: all).
+
+    Every column is kept, and the whole table where no language could be learned. Rows that repeat share their fate.
+    """
     base = docs.withColumn("_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     langs, vectors = prototypes(base.filter(~F.col("_out")))
+    if not langs:
+        return docs
     named = classify(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", "text"), langs, vectors)
-    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    wanted = F.col("lang_pred") != UNKNOWN if languages is None else F.col("lang_pred").isin(sorted(languages))
+    return named.filter(wanted & (F.col("score") >= least)).select("_row.*")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

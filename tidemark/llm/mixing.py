@@ -64,11 +64,13 @@ class Domains:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """text and domain number of at most `rows` labelled documents, those with the least hash of their ids."""
+    """text and domain number of at most `rows` labelled documents, those with the least hash of their ids; of rows
+    that share an id, the one with the least text.
+    """
     one = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     domain = (F.when(F.col("quality") > 0, 0).otherwise(1) + F.when(F.col("toxic") > 0, 2).otherwise(0)).alias("domain")
     some = one.select("doc_id", domain).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").select("text", "domain")
+    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("domain").alias("domain")).select("text", "domain")
 
 
 def fit_domains(training: DataFrame, most: int = FEATURES, steps: int = 300, rate: float = 0.1, ridge: float = 1e-5) -> Domains:
@@ -210,14 +212,15 @@ def with_rates(chances: DataFrame, steps: list[np.ndarray], k: int) -> DataFrame
     return chances.mapInArrow(run, out)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[DataFrame, list[str]]:
-    """docs with _tokens, _chances, _rate and _copies, and the names of the domains.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """docs (its columns keep, or all) with _tokens, _chances, _rate and _copies, and the names of the domains.
 
     A null or empty text has no tokens, rate 1 and one copy. Rows that repeat get equal results. Without labels
     there is one domain and every rate is 1. An empty table gives no rows. Other columns are kept.
     """
     model = fit_domains(labelled(docs, labels))
-    base = stored(with_chances(docs.withColumn("_u", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)), model))
+    scored = with_chances(docs.withColumn("_u", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)), model)
+    base = stored(scored.select(*[F.col(f"`{c}`") for c in keep or docs.columns], "_u", "_tokens", "_chances"))
     rated = with_rates(base, fit_rates(base, model.names, targets), len(model.names))
     return rated.withColumn("_copies", F.floor(F.col("_rate") + F.col("_u")).cast("int")).drop("_u"), model.names
 
@@ -225,11 +228,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """docs with each row as often as its copies say; the columns of docs."""
     cols = docs.columns
-    out, _ = mix(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in cols])).select("_row", "doc_id", "text"), labels, targets)
+    out, _ = mix(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in cols])).select("_row", "doc_id", "text"), labels, targets, ["_row"])
     return out.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tokens, a chance for each domain that was learned, rate, copies."""
-    out, names = mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    out, names = mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return out.select("doc_id", F.col("_tokens").alias("tokens"), *[F.get("_chances", F.lit(i)).alias(f"p_{n}") for i, n in enumerate(names)], F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))

@@ -24,7 +24,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k"
 ITEMS_A_TASK = 40_000
 SLACK = 2
-MOST_CACHED = 600_000
+#: Words of at most 64 characters whose ids are held, about 50 MB a worker.
+MOST_CACHED = 250_000
 #: Texts of only these characters can be split with classes spelled out, which is several times faster.
 PLAIN = r"[\t\n\v\f\r\x20-\x7e\xa0-\xff]*"
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"

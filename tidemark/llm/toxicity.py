@@ -37,12 +37,14 @@ def features(text: str | None) -> set[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """text and grade of at most `rows` labelled documents, those with the least hash of their ids."""
+    """text and grade of at most `rows` labelled documents, those with the least hash of their ids; of rows
+    that share an id, the one with the least text.
+    """
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
     some = one.select("doc_id", grade.alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # bounded by `rows`
-    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").select("text", "grade")
+    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade")).select("text", "grade")
 
 
 class Model:
