@@ -150,31 +150,28 @@ def prototypes(docs: DataFrame, texts_a_language: int = TEXTS_A_LANGUAGE, dimens
     return langs, out
 
 
-def classify(docs: DataFrame, langs: list[str], vectors: np.ndarray, sharpness: float = SHARPNESS) -> DataFrame:
-    """docs with lang_pred and score added, a column of such a name replaced.
+def classified(text: Column, langs: list[str], vectors: np.ndarray, sharpness: float = SHARPNESS) -> Column:
+    """lang_pred and score of a text, as a struct.
 
     und and 0 for a null text, a text without a letter, or where no language was learned. The score is the share of
     the best language in the exponentials of the scaled cosines.
     """
-    names = np.array(langs, object)
 
-    def run(batches):
+    @F.arrow_udf("lang_pred string, score double")
+    def run(texts: pa.Array) -> pa.Array:
         encoder = encoder_of(vectors.shape[1])
-        for b in batches:
-            pred, score = [], []
-            for text in b.column(b.num_columns - 1):
-                v = encoder.vector(text.as_py()) if len(names) else None
-                if v is None:
-                    pred.append(UNKNOWN), score.append(0.0)
-                    continue
-                x = sharpness * (vectors @ v)
-                p = np.exp(x - x.max())
-                pred.append(names[int(x.argmax())]), score.append(float(p.max() / p.sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
-
-    held = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in held)
-    return docs.select(*[F.col(f"`{c}`") for c in held], F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+        pred, score = [], []
+        for text in texts:
+            v = encoder.vector(text.as_py()) if langs else None
+            if v is None:
+                pred.append(UNKNOWN), score.append(0.0)
+                continue
+            x = sharpness * (vectors @ v)
+            p = np.exp(x - x.max())
+            pred.append(langs[int(x.argmax())]), score.append(float(p.max() / p.sum()))
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    return run(text)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -184,7 +181,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", "text", "lang", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
     langs, vectors = prototypes(base.filter(~F.col("held_out")))
-    return classify(base.select("doc_id", "held_out", "text"), langs, vectors).select("doc_id", "held_out", "lang_pred", "score")
+    return base.select("doc_id", "held_out", classified(F.col("text"), langs, vectors).alias("x")).select("doc_id", "held_out", "x.lang_pred", "x.score")
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE, languages: set[str] | None = None) -> DataFrame:
@@ -196,9 +193,10 @@ def accepted(docs: DataFrame, least: float = LEAST_SCORE, languages: set[str] |
     langs, vectors = prototypes(base.filter(~F.col("_out")))
     if not langs:
         return docs
-    named = classify(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", "text"), langs, vectors)
-    wanted = F.col("lang_pred") != UNKNOWN if languages is None else F.col("lang_pred").isin(sorted(languages))
-    return named.filter(wanted & (F.col("score") >= least)).select("_row.*")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), classified(F.col("text"), langs, vectors).alias("_x"))
+    pred = F.col("_x.lang_pred")
+    wanted = pred != UNKNOWN if languages is None else pred.isin(sorted(languages))
+    return named.filter(wanted & (F.col("_x.score") >= least)).select("_row.*")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,19 +125,19 @@ def fit_domains(training: DataFrame, most: int = FEATURES, steps: int = 300, rat
 def with_chances(docs: DataFrame, model: Domains) -> DataFrame:
     """docs with _tokens (words between white space) and _chances, one for each domain of the model."""
 
-    def run(batches):
-        for b in batches:
-            tokens, chances = [], []
-            for text in b.column(b.num_columns - 1):
-                t = text.as_py()
-                tokens.append(len((t or "").split()))
-                chances.append(model.chances(t).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tokens, pa.int64()), pa.array(chances, pa.list_(pa.float64()))], [*b.schema.names[:-1], "_tokens", "_chances"])
-
-    from pyspark.sql import types as T
+    @F.arrow_udf("tokens bigint, chances array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        tokens, chances = [], []
+        for text in texts:
+            t = text.as_py()
+            tokens.append(len((t or "").split()))
+            chances.append(model.chances(t))
+        flat = pa.array(np.concatenate([np.zeros(0), *chances]))
+        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(tokens) + 1) * len(model.names)).astype(np.int32)), flat)
+        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), lists], ["tokens", "chances"])
 
-    out = T.StructType([*docs.schema.fields, T.StructField("_tokens", T.LongType()), T.StructField("_chances", T.ArrayType(T.DoubleType()))])
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("_text")).mapInArrow(run, out)
+    scored = docs.withColumn("_x", run("text"))
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_x.tokens").alias("_tokens"), F.col("_x.chances").alias("_chances"))
 
 
 def rates(a: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -198,18 +198,12 @@ def fit_rates(chances: DataFrame, names: list[str], targets: dict[str, float] =
     return steps
 
 
-def with_rates(chances: DataFrame, steps: list[np.ndarray], k: int) -> DataFrame:
-    """chances with _rate and _copies: the rate rounded down or up, by a hash of the row's id and text."""
-
-    def run(batches):
-        for b in batches:
-            a = b.column(b.num_columns - 1).values.to_numpy().reshape(-1, k) * b.column(b.num_columns - 2).to_numpy()[:, None].astype(float)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(a, steps))], [*b.schema.names, "_rate"])
-
-    from pyspark.sql import types as T
-
-    out = T.StructType([*chances.schema.fields, T.StructField("_rate", T.DoubleType())])
-    return chances.mapInArrow(run, out)
+def with_rates(chances: DataFrame, steps: list[np.ndarray]) -> DataFrame:
+    """chances with _rate: as rates(), by DataFrame functions."""
+    rate = F.lit(1.0)
+    for g in steps:
+        rate = F.greatest(F.lit(0.0), rate + sum((F.col("_tokens") * F.get("_chances", F.lit(i)) * float(x) for i, x in enumerate(g)), F.lit(0.0)))
+    return chances.withColumn("_rate", rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -221,7 +215,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     model = fit_domains(labelled(docs, labels))
     scored = with_chances(docs.withColumn("_u", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)), model)
     base = stored(scored.select(*[F.col(f"`{c}`") for c in keep or docs.columns], "_u", "_tokens", "_chances"))
-    rated = with_rates(base, fit_rates(base, model.names, targets), len(model.names))
+    rated = with_rates(base, fit_rates(base, model.names, targets))
     return rated.withColumn("_copies", F.floor(F.col("_rate") + F.col("_u")).cast("int")).drop("_u"), model.names
 
 
