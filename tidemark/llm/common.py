@@ -26,16 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or sc.getCheckpointDir()
 
 
+#: Texts reach Python in batches of about so many bytes, so that few are held twice, by Spark and by Python.
+BATCH_BYTES = 4 << 20
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries that begin within leave no shuffle files when they have ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+    """Queries that begin within leave no shuffle files when they have ended, and send small batches to Python."""
+    ours = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name) for name in ours}
+    for name, value in ours.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, tidy
 
 DIMENSIONS = 512
 SHARPNESS = 20.0
 #: So many places of a text are looked at at once, and so many trigrams are held, by their vectors or while they are made.
 CHUNK = 1 << 18
-MOST_TRIGRAMS = 16_384
+MOST_TRIGRAMS = 8_192
 SLICE = 2_048
 MOST_LETTERS = 4_096
 #: Languages that are learned: at most so many, those with the most texts.
@@ -37,7 +37,7 @@ UNKNOWN = "und"
 class Encoder:
     """Text vectors. Letter vectors follow from the code point alone, so all workers agree.
 
-    Holds the vectors of at most MOST_TRIGRAMS trigrams and MOST_LETTERS letters: 34 MB at 512 dimensions.
+    Holds the vectors of at most MOST_TRIGRAMS trigrams and MOST_LETTERS letters: 19 MB at 512 dimensions.
     """
 
     def __init__(self, dimensions: int = DIMENSIONS):
@@ -138,7 +138,8 @@ def prototypes(docs: DataFrame, texts_a_language: int = TEXTS_A_LANGUAGE, dimens
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
     parts = some.select("text", "lang").mapInArrow(run, "lang string, v array<double>")
-    rows = parts.select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).collect()
+    with tidy(docs.sparkSession):
+        rows = parts.select("lang", F.posexplode("v").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x")).collect()
     langs = sorted({r.lang for r in rows})
     out = np.zeros((len(langs), dimensions))
     for r in rows:

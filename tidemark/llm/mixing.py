@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import dropped, stored, table, tidy
 
 DOMAINS = ("good", "poor", "good_toxic", "poor_toxic")
 #: Shares of all tokens; those of domains that the labels do not show are dropped.
@@ -75,11 +75,10 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> D
 
 def fit_domains(training: DataFrame, most: int = FEATURES, steps: int = 300, rate: float = 0.1, ridge: float = 1e-5) -> Domains:
     """training: text and domain, a bounded number of rows. One domain of chance 1 where there are none."""
-    training = training.cache()
+    training = stored(training)
     sizes = {r.domain: r["count"] for r in training.groupBy("domain").count().collect()}
     seen = sorted(sizes)
     if not seen:
-        training.unpersist()
         return Domains([DOMAINS[0]], {}, np.zeros((0, 1)), np.zeros(1))
     total = sum(sizes.values())
 
@@ -103,7 +102,7 @@ def fit_domains(training: DataFrame, most: int = FEATURES, steps: int = 300, rat
             yield pa.RecordBatch.from_arrays([pa.array([sorted(vocabulary[p] for p in vocabulary.keys() & parts(t)) for t in b.column(0).to_pylist()], pa.list_(pa.int32())), b.column(1)], ["x", "domain"])
 
     data = training.select("text", "domain").mapInArrow(rows, "x array<int>, domain int").collect()
-    training.unpersist()
+    dropped(training)
     y, k, d = np.array([seen.index(r.domain) for r in data]), len(seen), len(vocabulary)
     at = np.repeat(np.arange(len(data)), [len(r.x) for r in data])
     idx = np.array([i for r in data for i in r.x], np.int64)
@@ -172,7 +171,8 @@ def fit_rates(chances: DataFrame, names: list[str], targets: dict[str, float] =
                 total += np.concatenate([a.T @ r, (a.T @ a).ravel(), (up.T @ up).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["at", "x"])
 
-        rows = chances.select("_tokens", "_chances").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+        with tidy(chances.sparkSession):
+            rows = chances.select("_tokens", "_chances").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(k + 2 * k * k)
         for r in rows:
             out[r.at] = r.x
