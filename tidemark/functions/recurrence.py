@@ -6,20 +6,32 @@ folded in order. No task needs more than a block of rows, and the folded arrays
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: rows of a block at most so many, else (1 - a) ** -k leaves the range of doubles
+#: rows of a caller's block at most so many
 MOST_ROWS = 2_500
+#: (1 - a) ** -k stays below e to this power, within the range of doubles
+MOST_POWER = 600.0
 
 
 def ewm(df: DataFrame, averages: dict[str, tuple[str, float]], block: F.Column, key: str = "symbol", time: str = "timestamp") -> DataFrame:
-    """df with a column for each of averages: name -> (column without NULLs, weight a). The first value is the seed."""
+    """df with a column for each of averages: name -> (column, weight a, 0 < a <= 1). The first value is the seed.
+
+    Rows in which one of the columns is NULL are left out. Blocks are parted further where a weight is so large that
+    its powers would overflow within them.
+    """
     names = list(averages)
+    df = df.dropna(subset=sorted({col for col, _ in averages.values()}))
+    most = min(int(MOST_POWER / -math.log(1 - a)) if a < 1 else 1 for _, a in averages.values())
     seed = df.groupBy(key).agg(F.min(time).alias("_t0"))
     own = W.partitionBy(key, "_b").orderBy(time)
     base = df.withColumn("_b", block).join(seed, key).withColumn("_k", F.row_number().over(own) - 1)
+    if most < MOST_ROWS:
+        base = base.withColumn("_b", F.struct("_b", F.floor(F.col("_k") / most).alias("part"))).withColumn("_k", F.pmod("_k", F.lit(most)))
     for n in names:
         col, a = averages[n]
         u = F.when(F.col(time) == F.col("_t0"), F.col(col)).otherwise(F.lit(a) * F.col(col))

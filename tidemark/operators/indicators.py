@@ -24,18 +24,23 @@ def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 
 
 def ema(bars: DataFrame, n: int = 12, interval: str = "1h") -> DataFrame:
+    """bars with ema_n; bars without a close are left out."""
     return ewm(bars, {f"ema_{n}": ("close", 2 / (n + 1))}, block(interval))
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, interval: str = "1h") -> DataFrame:
-    """bars with ema_fast, macd and macd_signal."""
+    """bars with ema_fast, macd and macd_signal; bars without a close are left out."""
     both = ewm(bars, {f"ema_{fast}": ("close", 2 / (fast + 1)), "_slow": ("close", 2 / (slow + 1))}, block(interval))
     line = both.withColumn("macd", F.col(f"ema_{fast}") - F.col("_slow")).drop("_slow")
     return ewm(line, {"macd_signal": ("macd", 2 / (signal + 1))}, block(interval))
 
 
 def rsi(bars: DataFrame, n: int = 14, interval: str = "1h") -> DataFrame:
-    """bars with rsi_n by Wilder's averages; 100 where there is no loss, NULL for the first n - 1 bars."""
+    """bars with rsi_n by Wilder's averages; 100 where there is no loss, NULL for the first n - 1 bars.
+
+    Bars without a close are left out.
+    """
+    bars = bars.filter("close is not null")
     w = W.partitionBy("symbol").orderBy("timestamp")
     move = F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))
     moved = bars.withColumns({"_move": move, "_row": F.row_number().over(w)}).withColumns({"_up": F.greatest("_move", F.lit(0.0)), "_down": F.greatest(-F.col("_move"), F.lit(0.0))})
