@@ -221,3 +221,30 @@ def test_line_dedup_index():
             places = [(found[k >> line_dedup.POS_BITS], k) for k in keys[1].tolist() if k >> line_dedup.POS_BITS in found]
             low = (1 << line_dedup.POS_BITS) - 1
             assert any((a & low) + (b & low) <= n + m - 2 * shared for a, b in places)
+
+
+def test_license_bodies_and_repeated_rows(spark):
+    cases = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided": "bsd",
+        "Neither the name of Foo Bar, Inc. nor the names of its contributors may be used to": "bsd-3-clause",
+        "Distributed under GPLv3.": "gpl-3.0",
+        "released under the LGPLv2.1": "lgpl-2.1",
+        "the FreeBSD license": "bsd-2-clause",
+        "they hereby state that contributors redistribute": "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan(df).collect()} == dict(enumerate(cases.values()))
+    text = "Apache 2.0 first. Licensed under the Apache License, Version 2.0. Then: licensed under the MIT license."
+    one = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    many = spark.createDataFrame([(1, text)] * 3 + [(None, text)] * 2, "doc_id bigint, text string")
+    spots = lambda df: sorted((r.rule, r.start, r.stop) for r in license_scan.detections(df).collect() if r.doc_id == 1)
+    line = f" {' '.join(re.findall(license_scan.WORD, text.lower()))} "
+    got = spots(many)
+    assert got == spots(one) and all(re.fullmatch(license_scan.rules()[n][3].removesuffix("(?= )"), line[a:b]) for n, a, b in got)
+    # suppression against brute force: what lies in one of a higher priority, or in a longer or earlier one of its own
+    tried = [(n, p, m.start(), m.end()) for n, _, _, e, p, _ in license_scan.rules() for m in re.finditer(e, line)]
+    order = sorted(tried, key=lambda x: (x[2], -x[3], -x[1], x[0]))
+    want = [x for i, x in enumerate(order) if not any(y[1] >= x[1] and y[3] >= x[3] for y in order[:i])]
+    assert got == sorted((n, a, b) for n, _, a, b in want)
+    assert len(license_scan.scan(many).collect()) == 5 and {r.labels for r in license_scan.scan(many).collect()} == {r.labels for r in license_scan.scan(one).collect()}

@@ -48,8 +48,15 @@ NAMES = [
     ("gpl-2.0", "gpl", rf"{_GNU}gpl ?{_V}2(?: 0)?"),
     ("gpl-3.0", "gpl", rf"{_GNU}gpl ?{_V}3(?: 0)?"),
     ("gpl", "gpl", rf"{_GNU}gpl"),
+    ("gpl-2.0", "gplv2", rf"{_GNU}gplv2(?: 0)?"),
+    ("gpl-3.0", "gplv3", rf"{_GNU}gplv3(?: 0)?"),
+    ("lgpl-2.1", "lgplv2", rf"{_GNU}lgplv2 1"),
+    ("lgpl-2.0", "lgplv2", rf"{_GNU}lgplv2(?: 0)?"),
+    ("lgpl-3.0", "lgplv3", rf"{_GNU}lgplv3(?: 0)?"),
+    ("agpl-3.0", "agplv3", rf"{_GNU}agplv3(?: 0)?"),
     ("gfdl", "documentation", rf"{_GNU}free documentation"),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "freebsd", r"freebsd"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause)"),
@@ -106,17 +113,33 @@ FORMS = [
     ("named", rf"(?:the )?{{name}} {_L}(?: (?:version )?\d(?: \d)?)?", 1, 0.8),
 ]
 PRIORITIES = (3, 2, 1)
+#: (label, keyword, expression) for sentences of license texts and notices
+BODIES = [
+    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("isc", "hereby", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "contributors", r"neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used"),
+    ("gpl", "redistribute", r"is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "redistribute", r"is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl", "redistribute", r"is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license"),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("zlib", "plainly", r"altered source versions must be plainly marked as such"),
+    ("bsl-1.0", "accompanying", r"obtaining a copy of the software and accompanying documentation covered by this license"),
+]
+BODY = 3, 0.95
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """(number, label, keyword, expression, priority, confidence), in order: every form of every name."""
+    """(number, label, keyword, expression, priority, confidence), in order: every form of every name, then bodies."""
     out = []
     for label, keyword, name in NAMES:
         for kind, form, priority, confidence in FORMS:
             if kind == "named" and "(?: license)?" in name:  # the word stands within the name, before its version
                 form = "(?:the )?{name}"
             out.append((len(out), label, keyword, f" {form.format(name=f'(?:{name})')}(?= )", priority, confidence))
-    return out
+    return out + [(len(out) + i, label, keyword, f" {body}(?= )", *BODY) for i, (label, keyword, body) in enumerate(BODIES)]
 
 
 def _rule_table(spark: SparkSession) -> DataFrame:
@@ -142,8 +165,8 @@ def _words(text: Column) -> Column:
 def detections(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, rule, label, confidence, start, stop for every detection that is not suppressed.
 
-    start and stop are characters of the text's words joined by spaces. Rows with equal doc_id and text are looked at
-    once for each of them and give equal detections.
+    start and stop are characters of the text's words joined by spaces. Rows with equal doc_id and text give one set of
+    detections.
     """
     text = F.coalesce("text", F.lit(""))
     worded = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(_lower(text)).alias("words"))
@@ -155,7 +178,8 @@ def detections(docs: DataFrame) -> DataFrame:
     hit = tried.withColumn("hits", F.regexp_extract_all("line", F.col("expression"), F.lit(0))).filter(F.size("hits") > 0)
     parts = hit.withColumn("gaps", F.split("line", F.col("expression"), -1))
     flat = parts.select("doc_id", "text_hash", "rule", "label", "priority", "confidence", F.posexplode(F.arrays_zip("hits", "gaps")).alias("at", "x"))
-    flat = flat.filter(F.col("x.hits").isNotNull()).select("*", F.length("x.hits").alias("n"), F.length("x.gaps").alias("gap")).drop("x").repartition("doc_id")
+    flat = flat.filter(F.col("x.hits").isNotNull()).select("*", F.length("x.hits").alias("n"), F.length("x.gaps").alias("gap")).drop("x")
+    flat = flat.repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "rule", "at"])
     run = W.partitionBy("doc_id", "text_hash", "rule").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = flat.withColumn("stop", F.sum(F.col("n") + F.col("gap")).over(run)).withColumn("start", F.col("stop") - F.col("n"))
     # by start, longer first: whatever contains an interval stands before it
