@@ -248,3 +248,16 @@ def test_license_bodies_and_repeated_rows(spark):
     want = [x for i, x in enumerate(order) if not any(y[1] >= x[1] and y[3] >= x[3] for y in order[:i])]
     assert got == sorted((n, a, b) for n, _, a, b in want)
     assert len(license_scan.scan(many).collect()) == 5 and {r.labels for r in license_scan.scan(many).collect()} == {r.labels for r in license_scan.scan(one).collect()}
+
+
+def test_pipeline_odd_and_empty(spark, odd, labels, tmp_path):
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert rows and not {r.doc_id for r in rows} & {3, 4, 5}
+    fill = Counter()
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024
