@@ -3,10 +3,12 @@
 Two 64-bit fingerprints that differ in at most max_bits bits agree in at least 8 - max_bits of their eight
 positional bytes. The index lists every distinct fingerprint under small sets of positional bytes, chosen so that
 any pair with the guaranteed number of agreeing bytes meets in at least one list. A pair that meets is kept only if
-the tally of shared positional bytes reaches the guaranteed minimum, and is then verified bit by bit.
+the tally of shared positional bytes reaches the guaranteed minimum, and is then verified bit by bit. Members of a list
+that grows long are listed again under one positional byte more, so that they meet only those with which the tally can
+reach the minimum; the list's length decides, so keys lengthen where fingerprints crowd and as their number grows.
 
 Only connections matter for the result, so a long list is first thinned: each member is compared with a few hubs of
-its list, components are formed, and then only members of different components are compared, all of them.
+its list, components are formed, and then only members of different components are compared, all of them, in blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
 HUBS = 4
+#: lists of more members get longer keys, and are compared in blocks of about so many
+LONG = 1_024
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -93,21 +97,39 @@ def _near(a: Column, b: Column, max_bits: int) -> Column:
     return (shared >= 8 - max_bits) & (F.bit_count(x) <= max_bits)
 
 
-def fingerprint_groups(classes: DataFrame, max_bits: int = MAX_BITS, hubs: int = HUBS) -> DataFrame:
+def _longer(index: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """Each entry fp, key again under its key and every positional byte that the key does not hold."""
+    held = F.element_at(F.array(*[F.lit(sum(1 << p for p in s)) for s in sets]), (F.shiftright("key", 24) + 1).cast("int"))
+    new = [F.when(held.bitwiseAND(F.lit(1 << p)) == 0, F.lit(1 << 48).bitwiseOR(F.shiftleft("key", 11)).bitwiseOR(F.lit(p << 8)).bitwiseOR(_byte(F.col("fp"), p))) for p in range(8)]
+    return index.select("fp", F.explode(F.array_compact(F.array(*new))).alias("key"))
+
+
+def fingerprint_groups(classes: DataFrame, max_bits: int = MAX_BITS, hubs: int = HUBS, long: int = LONG) -> DataFrame:
     """classes: distinct fingerprints, column fp. Returns fp, root for every fingerprint linked with another one."""
     if not 0 <= max_bits <= 7:
         raise ValueError("max_bits must lie between 0 and 7")
-    index = classes.select("fp", F.explode(_keys(F.col("fp"), position_sets(8 - max_bits))).alias("key"))
+    sets = position_sets(8 - max_bits)
     hub = [F.min("fp"), F.max("fp"), *(F.min_by("fp", F.xxhash64("fp", F.lit(i))) for i in range(hubs - 2))]
-    lists = index.groupBy("key").agg(F.array(*hub).alias("hubs"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    dense = stored(index.join(lists, "key"))
+
+    def lists(index: DataFrame) -> DataFrame:
+        return index.groupBy("key").agg(F.array(*hub).alias("hubs"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+    index = classes.select("fp", F.explode(_keys(F.col("fp"), sets)).alias("key"))
+    dense = index.join(lists(index), "key")
+    if len(sets[0]) < 8 - max_bits:
+        dense = stored(dense)
+        again = _longer(dense.filter(F.col("n") > long), sets)
+        dense = dense.filter(F.col("n") <= long).unionByName(again.join(lists(again), "key"))
+    dense = stored(dense.select("fp", "key", "hubs"))
     star = dense.select("fp", F.explode(F.array_distinct("hubs")).alias("hub")).filter("fp <> hub").filter(_near(F.col("fp"), F.col("hub"), max_bits))
     first = stored(components(star.select(F.col("hub").alias("a"), F.col("fp").alias("b"))))
     held = dense.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("comp"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = stored(held.join(mixed, "key"))
-    other = rest.select("key", F.col("fp").alias("fp2"), F.col("comp").alias("comp2"))
-    late = rest.join(other, "key").filter("comp < comp2").filter(_near(F.col("fp"), F.col("fp2"), max_bits))
+    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / long).alias("parts")).filter("lo <> hi")
+    rest = stored(held.join(mixed.select("key", "parts"), "key").withColumn("own", F.pmod(F.xxhash64("fp"), "parts")))
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    one = rest.select("key", F.col("own").alias("a"), each.alias("b"), "fp", "comp")
+    other = rest.select("key", each.alias("a"), F.col("own").alias("b"), F.col("fp").alias("fp2"), F.col("comp").alias("comp2"))
+    late = one.join(other, ["key", "a", "b"]).filter("comp < comp2").filter(_near(F.col("fp"), F.col("fp2"), max_bits))
     second = components(late.select(F.col("comp").alias("a"), F.col("comp2").alias("b")))
     roots = first.select("node", "root").union(second.select("node", F.col("node").alias("root"))).distinct()
     moved = roots.join(second.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
