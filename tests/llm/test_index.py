@@ -1,0 +1,90 @@
+"""Whether the indexes prune: the cover tree's levels, and the lists of fingerprints where they crowd."""
+
+import os
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from tidemark.llm import cover_tree, simhash
+
+EMBEDDINGS = "/root/testdata/sf0.1/embeddings.parquet"
+
+
+def check_levels(node):
+    if not node.kids or node.radius <= cover_tree.SLACK:
+        return
+    centers = np.array([k.center for k in node.kids])
+    apart = cover_tree.distances(centers, centers)
+    np.fill_diagonal(apart, np.inf)
+    assert (node.kids[0].center == node.center).all() and apart.min() > node.radius / 2 - cover_tree.SLACK
+    assert sorted(i for k in node.kids for i in k.idx.tolist()) == sorted(node.idx.tolist())
+    for k in node.kids:
+        assert k.radius <= node.radius / 2 + cover_tree.SLACK
+        check_levels(k)
+
+
+@pytest.mark.parametrize("spread", [0.0005, 0.05, 0.3, 3.0])
+def test_levels_halve_nest_and_part(spread):
+    rng = np.random.default_rng(3)
+    x = cover_tree.unit(rng.normal(size=(3, 24))[rng.integers(0, 3, 2_500)] + spread * rng.normal(size=(2_500, 24)))
+    tree = cover_tree.Node(x, np.arange(len(x)))
+    assert tree.kids
+    check_levels(tree)
+    linked = x @ x.T >= 0.95
+    for one, other in [(tree, tree), (cover_tree.Node(x, np.arange(900)), cover_tree.Node(x, np.arange(900, 2_500)))]:
+        links = cover_tree.Links(x, np.ones(len(x), np.int64), 0.95)
+        links.walk(one, other)
+        want = linked.sum(1) - 1 if one is other else np.concatenate([linked[:900, 900:].sum(1), linked[900:, :900].sum(1)])
+        assert links.counts.tolist() == want.tolist()
+
+
+@pytest.mark.skipif(not os.path.isfile(EMBEDDINGS), reason="no test data")
+def test_node_pairs_are_pruned():
+    x = np.unique(cover_tree.unit(np.stack(pq.read_table(EMBEDDINGS)["embedding"].to_pylist())), axis=0)
+    links = cover_tree.Links(x, np.ones(len(x), np.int64), 0.95)
+    tree = cover_tree.Node(x, np.arange(len(x)))
+    check_levels(tree)
+    links.walk(tree, tree)
+    assert links.seen > len(x) and links.pruned > 0.99 * links.seen
+    assert links.counts.tolist() == ((x @ x.T >= 0.95).sum(1) - 1).tolist()
+
+
+@pytest.mark.parametrize("long", [8, 64, 100_000])
+def test_crowded_fingerprints(spark, long):
+    """Half of the fingerprints share three bytes, a quarter four, and some of each are linked."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 2**64, 1_200, dtype=np.uint64)
+    x[:600] = (x[:600] & np.uint64(0xFFFFFFFFFF000000)) | np.uint64(0xABCDEF)
+    x[300:600] = (x[300:600] & np.uint64(0xFFFFFFFF00FFFFFF)) | np.uint64(0x12000000)
+    flips = np.zeros(400, np.uint64)
+    for _ in range(4):
+        flips |= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    x = np.unique(np.concatenate([x, x[200:600] ^ flips]))
+    linked = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
+    signed = x.view(np.int64)
+    label = np.arange(len(x))
+    while True:
+        new = np.where(linked, label[None, :], len(x)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    got = {r.fp: r.root for r in simhash.fingerprint_groups(spark.createDataFrame([(v,) for v in signed.tolist()], "fp bigint"), long=long).collect()}
+    assert set(got) == {v for v, n in zip(signed.tolist(), linked.sum(1)) if n > 1}
+    groups, want = {}, {}
+    for v, l in zip(signed.tolist(), label.tolist()):
+        if v in got:
+            groups.setdefault(got[v], set()).add(v)
+            want.setdefault(l, set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_longer_keys_keep_every_pair_that_shares_four_bytes(spark):
+    sets = simhash.position_sets(4)
+    x = [0x0102030405060708, 0x0102030499999999, 0x9999999905060708, 0x0199039905990799]
+    index = spark.createDataFrame([(v - (1 << 64) if v >= 1 << 63 else v,) for v in x], "fp bigint")
+    index = index.select("fp", simhash.F.explode(simhash._keys(simhash.F.col("fp"), sets)).alias("key"))
+    longer = simhash._longer(index, sets)
+    assert longer.count() == len(x) * len(sets) * 5
+    met = {tuple(sorted(r.fps)) for r in longer.groupBy("key").agg(simhash.F.sort_array(simhash.F.collect_set("fp")).alias("fps")).filter("size(fps) > 1").collect()}
+    assert any(x[0] in m and x[1] in m for m in met) and any(x[0] in m and x[2] - (1 << 64) in m for m in met) and any(x[0] in m and x[3] in m for m in met)

@@ -1,12 +1,16 @@
 """Embedding near-duplicates by a cover tree and dual traversal: all pairs with a cosine of at least the threshold.
 
-For unit vectors a cosine bound is a distance bound. The upper levels are Spark tables: cells around centres, with the
-covering radius of all their vectors, cut into blocks of a bounded number of vectors. Pairs of blocks whose cells are too
-far apart by their radii are pruned; each other pair is one task, which builds the lower levels of the tree, nodes with
-halving radii, and walks both sides at once: pairs of nodes that are too far apart are dropped, pairs that are wholly
-within the bound are linked at once, and pairs of leaves are compared in double precision.
-
-The centres may come from a bounded sample because the radii do not: which pairs are found does not depend on them.
+For unit vectors a cosine bound is a distance bound. A level of the tree is a set of centres that lie farther apart than
+its radius and cover every vector within it; the centre of a node is also its first child's, and a child covers at most
+half its parent's radius. The uppermost level is a Spark table: cells around centres that are each the farthest from
+those before, with the covering radius of all their vectors, cut into blocks of a bounded number of vectors. Pairs of
+cells that are too far apart by their radii are pruned; each pair of blocks of the others is one task, which builds the
+levels below and walks both sides at once: pairs of nodes that are too far apart are dropped, pairs that are wholly
+within the bound are linked at once, and the vectors of leaves that stay are compared in double precision.
+
+The cells' centres may come from a bounded sample because the radii do not: which pairs are found does not depend on
+them. Where vectors have no neighbours but their duplicates, in many dimensions, cells have wide radii and few of their
+pairs are pruned: pruning begins at the levels within the tasks, and the copies sent grow with the number of blocks.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import components, stored, table
 
 THRESHOLD = 0.95
+#: a block has about so many vectors, more in large tables and never more than MOST_BLOCK
 BLOCK = 8_192
-MOST_BLOCKS_FROM_SIZE = 2_048
+MOST_BLOCK = 65_536
+FEW_BLOCKS = 2_048
 SAMPLE = 4_096
 LEAF = 512
-FANOUT = 16
-SLACK = 1e-9
+#: distances are compared with this much room, so that rounding prunes no pair
+SLACK = 1e-7
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -37,38 +43,76 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def far_points(x: np.ndarray, most: int, radius: float = 0.0) -> list[int]:
-    """Rows chosen one by one, each the farthest from those before, until all lie within radius of one."""
-    chosen, left = [0], np.sqrt(np.maximum(0, 2 - 2 * x @ x[0]))
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between unit vectors, each of a with each of b."""
+    return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
+
+
+def far_points(x: np.ndarray, most: int) -> list[int]:
+    """Rows chosen one by one, each the farthest from those before; fewer where no others are left."""
+    chosen, left = [0], distances(x, x[:1])[:, 0]
     while len(chosen) < most:
         at = int(left.argmax())
-        if left[at] <= max(radius, SLACK):
+        if left[at] <= SLACK:
             break
         chosen.append(at)
-        left = np.minimum(left, np.sqrt(np.maximum(0, 2 - 2 * x @ x[at])))
+        left = np.minimum(left, distances(x, x[at : at + 1])[:, 0])
     return chosen
 
 
+def net(x: np.ndarray, radius: float, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Centres, row 0 the first, that lie farther apart than radius and have every row within it; each row's nearest."""
+    best, owner, chosen, left = np.full(len(x), np.inf), np.zeros(len(x), np.int64), [], np.arange(len(x))
+    while left.size:
+        some = left[:batch]
+        close, free, new = distances(x[some], x[some]) <= radius, np.ones(len(some), bool), []
+        for i in range(len(some)):
+            if free[i]:
+                new.append(i)
+                free &= ~close[i]
+        away = distances(x, x[some[new]])
+        away[some[new], np.arange(len(new))] = 0
+        nearest = away.argmin(1)
+        away = away[np.arange(len(x)), nearest]
+        closer = away < best
+        best[closer], owner[closer] = away[closer], nearest[closer] + len(chosen)
+        chosen += some[new].tolist()
+        left = left[best[left] > radius]
+    return np.array(chosen), owner
+
+
 class Node:
-    """Rows idx of x around one of them; the children have at most half the radius where the fanout allows it."""
+    """Rows idx of x around the first of them; the children's centres are a net of half the radius."""
 
     def __init__(self, x: np.ndarray, idx: np.ndarray):
-        self.idx, self.kids = idx, []
+        self.idx, self.kids, self.center, self.radius = idx, [], x[idx[0]], 0.0
+        if len(idx) == 1:
+            return
         own = x[idx]
-        self.center = own[0]
-        away = np.linalg.norm(own - self.center, axis=1)
-        self.radius = float(away.max())
+        self.radius = float(np.linalg.norm(own - self.center, axis=1).max())
         if len(idx) <= LEAF:
             return
         if self.radius <= SLACK:
             parts = np.array_split(idx, -(-len(idx) // LEAF))
         else:
-            centers = own[far_points(own, FANOUT, self.radius / 2)]
-            nearest = (own @ centers.T).argmax(1)
-            parts = [idx[nearest == k] for k in range(len(centers))]
-            if max(map(len, parts)) == len(idx):
-                parts = np.array_split(idx, 2)
-        self.kids = [Node(x, p) for p in parts if len(p)]
+            chosen, owner = net(own, self.radius / 2)
+            owner[chosen] = np.arange(len(chosen))
+            rank = np.ones(len(idx), np.int64)
+            rank[chosen] = 0  # a centre comes first among its rows
+            order = np.lexsort((rank, owner))
+            parts = np.split(idx[order], np.flatnonzero(np.diff(owner[order])) + 1)
+        self.kids = [Node(x, p) for p in parts]
+
+    def runs(self) -> list[list[Node]]:
+        """The children (or the leaf itself) in order: leaves gathered to about LEAF rows, the others alone."""
+        out, size = [], LEAF
+        for kid in self.kids or [self]:
+            if kid.kids or size + len(kid.idx) > LEAF:
+                out.append([])
+                size = 0
+            out[-1].append(kid)
+            size = LEAF if kid.kids else size + len(kid.idx)
+        return out
 
 
 class Links:
@@ -78,6 +122,7 @@ class Links:
         self.x, self.x32, self.copies, self.threshold = x, x.astype(np.float32), copies, threshold
         self.reach = math.sqrt(max(0.0, 2 - 2 * threshold))
         self.counts, self.parent = np.zeros(len(x), np.int64), list(range(len(x)))
+        self.seen = self.pruned = 0  # pairs of nodes, and those dropped by their radii
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -99,25 +144,30 @@ class Links:
         for i in [*a.idx.tolist(), *b.idx.tolist()]:
             self.join(a.idx[0].item(), i)
 
-    def leaves(self, a: Node, b: Node) -> None:
-        rough = self.x32[a.idx] @ self.x32[b.idx].T
+    def leaves(self, a: np.ndarray, b: np.ndarray, same: bool = False) -> None:
+        """Compare rows a with rows b, or among themselves."""
+        for at in range(0, len(b), 8_192):
+            self.compare(a, b[at : at + 8_192], same)
+
+    def compare(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        rough = self.x32[a] @ self.x32[b].T
         if rough.max() < self.threshold - 1e-4:
             return
-        mask = self.x[a.idx] @ self.x[b.idx].T >= self.threshold
-        if a is b:
+        mask = self.x[a] @ self.x[b].T >= self.threshold
+        if same:
             np.fill_diagonal(mask, False)
         if not mask.any():
             return
-        self.counts[a.idx] += mask @ self.copies[b.idx]
-        if a is not b:
-            self.counts[b.idx] += mask.T @ self.copies[a.idx]
-        if mask.sum() <= 4 * (len(a.idx) + len(b.idx)):
+        self.counts[a] += mask @ self.copies[b]
+        if not same:
+            self.counts[b] += mask.T @ self.copies[a]
+        if mask.sum() <= 4 * (len(a) + len(b)):
             for i, j in zip(*(k.tolist() for k in mask.nonzero())):
-                self.join(a.idx[i].item(), b.idx[j].item())
+                self.join(a[i].item(), b[j].item())
             return
         n, m = mask.shape  # many links: least labels spread over the two sides until they rest
         left, right = np.arange(n), np.arange(n, n + m)
-        if a is b:
+        if same:
             right = left.copy()
         while True:
             new_right = np.minimum(right, np.where(mask, left[:, None], n + m).min(0))
@@ -125,9 +175,9 @@ class Links:
             if (new_left == left).all() and (new_right == right).all():
                 break
             left, right = new_left, new_right
-            if a is b:
+            if same:
                 left = right = np.minimum(left, right)
-        whole = np.concatenate([a.idx, b.idx])
+        whole = np.concatenate([a, b])
         for at, label in [*enumerate(left.tolist()), *((n + k, v) for k, v in enumerate(right.tolist()))]:
             self.join(whole[at].item(), whole[label].item())
 
@@ -140,22 +190,45 @@ class Links:
                 continue
             if apart + a.radius + b.radius <= self.reach - SLACK:
                 self.all_linked(a, b)
-            elif a is b and a.kids:
-                stack += [(x, y) for i, x in enumerate(a.kids) for y in a.kids[i:]]
-            elif a.kids and (not b.kids or a.radius >= b.radius):
-                stack += [(x, b) for x in a.kids]
-            elif b.kids:
-                stack += [(a, y) for y in b.kids]
+            elif a.kids or b.kids:
+                stack += self.below(a, b)
             else:
-                self.leaves(a, b)
+                self.leaves(a.idx, b.idx, a is b)
+
+    def below(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """Compares the leaves among the children of both that stay, and returns the pairs of other children that stay."""
+        out, kids = [], b.kids or [b]
+        centers, radii = np.array([k.center for k in kids]), np.array([k.radius for k in kids])
+        inner, done = np.array([bool(k.kids) for k in kids]), 0
+        for run in a.runs():
+            near = distances(np.array([k.center for k in run]), centers) <= np.array([k.radius for k in run])[:, None] + radii + self.reach + SLACK
+            if a is b:  # each pair of children once, those within the run below
+                near = near[:, done + len(run) :]
+            done = done + len(run) if a is b else 0
+            self.seen, self.pruned = self.seen + near.size, self.pruned + near.size - int(near.sum())
+            rows = np.concatenate([k.idx for k in run])
+            if run[0].kids:
+                out += [(run[0], kids[done + j]) for j in near[0].nonzero()[0].tolist()]
+                if a is b:
+                    out.append((run[0], run[0]))
+                continue
+            if a is b:
+                self.leaves(rows, rows, True)
+            deeper = inner[done:]
+            out += [(run[i], kids[done + j]) for i, j in zip(*(k.tolist() for k in (near & deeper).nonzero()))]
+            met = (near.any(0) & ~deeper).nonzero()[0].tolist()
+            if met:
+                self.leaves(rows, np.concatenate([kids[done + j].idx for j in met]))
+        return out
 
 
 def _pair(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """One pair of blocks: row numbers, copies linked, and a row that each is connected with."""
+    """One pair of blocks (sides 0 and 1) or one block (side 2): rows, copies linked, a row that each is connected with."""
     x = unit(np.stack(pdf["e"].to_numpy()))
     links, side = Links(x, pdf["n"].to_numpy(np.int64), threshold), pdf["side"].to_numpy()
-    first = Node(x, np.flatnonzero(side == 0))
-    links.walk(first, Node(x, np.flatnonzero(side == 1)) if (side == 1).any() else first)
+    trees = [Node(x, rows) for rows in map(np.flatnonzero, (side == 0, side == 1, side == 2)) if len(rows)]
+    if len(trees) == 2 or side[0] == 2:  # a block may be empty
+        links.walk(trees[0], trees[-1])
     got = np.flatnonzero(links.counts)
     cid = pdf["cid"].to_numpy()
     return pd.DataFrame({"cid": cid[got], "links": links.counts[got], "root": cid[[links.root(i) for i in got.tolist()]] if len(got) else cid[:0]})
@@ -167,7 +240,7 @@ def link_classes(classes: DataFrame, threshold: float = THRESHOLD, block: int =
     links counts copies in other classes; cid and root are connected. Several rows for a class add up.
     """
     spark, count = classes.sparkSession, classes.count()
-    block = max(block, count // MOST_BLOCKS_FROM_SIZE)
+    block = max(block, min(MOST_BLOCK, count // FEW_BLOCKS))
     some = classes.select("e").orderBy(F.xxhash64("e")).limit(SAMPLE).collect()
     if not some:
         return spark.createDataFrame([], "cid bigint, links bigint, root bigint")
@@ -185,25 +258,18 @@ def link_classes(classes: DataFrame, threshold: float = THRESHOLD, block: int =
     kind = classes.schema["e"].dataType.simpleString()
     placed = stored(classes.select("cid", "n", "e").mapInArrow(assign, f"cid bigint, n bigint, e {kind}, cell int, away double"))
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).orderBy("cell").collect()  # as many as centres
-    blocks = [(c.cell, k) for c in cells for k in range(-(-c.n // block))]
-    number = {b: i for i, b in enumerate(blocks)}
-    slices, radius, reach = {c.cell: -(-c.n // block) for c in cells}, {c.cell: c.r for c in cells}, math.sqrt(max(0.0, 2 - 2 * threshold))
-    tasks: dict[int, list[tuple[int, int]]] = {i: [] for i in range(len(blocks))}
-    pair = 0
-    for i, (a, _) in enumerate(blocks):
-        for j in range(i, len(blocks)):
-            b = blocks[j][0]
-            if np.linalg.norm(centers[a] - centers[b]) <= radius[a] + radius[b] + reach + SLACK:
-                tasks[i].append((pair, 0))
-                if i != j:
-                    tasks[j].append((pair, 1))
-                pair += 1
-    plan = spark.createDataFrame([(c, k, tasks[number[c, k]]) for c, k in blocks], "cell int, slice int, tasks array<struct<pair:int, side:int>>")
-    share = F.create_map(*[F.lit(x) for kv in slices.items() for x in kv])
-    cut = placed.withColumn("slice", F.pmod(F.xxhash64("cid"), share[F.col("cell")].cast("bigint")).cast("int"))
-    # the plan has a row for each block
-    dealt = cut.join(F.broadcast(plan), ["cell", "slice"]).select("cid", "n", "e", F.inline("tasks"))
-    return dealt.groupBy("pair").applyInPandas(lambda pdf: _pair(pdf, threshold), "cid bigint, links bigint, root bigint")
+    at, radius, slices = [c.cell for c in cells], np.array([c.r for c in cells]), [-(-c.n // block) for c in cells]
+    near = distances(centers[at], centers[at]) <= radius[:, None] + radius + math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    plan = [(at[i], slices[i], [(at[j], slices[j]) for j in near[i].nonzero()[0].tolist()]) for i in range(len(at))]
+    plan = spark.createDataFrame(plan, "cell int, slices int, near array<struct<cell:int, slices:int>>")
+    # the plan has a row for each cell, of which there are at most SAMPLE // 4
+    name = "bigint(cell) << 32 | bigint({})"  # of a block
+    cut = placed.join(F.broadcast(plan), "cell").withColumn("own", F.expr(name.format("pmod(xxhash64(cid), slices)")))
+    met = cut.select("cid", "n", "e", "own", F.inline("near").alias("cell", "slices"))
+    met = met.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("other", F.expr(name.format("slice")))
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).otherwise(2)
+    dealt = met.select("cid", "n", "e", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), side.alias("side"))
+    return dealt.groupBy("a", "b").applyInPandas(lambda pdf: _pair(pdf, threshold), "cid bigint, links bigint, root bigint")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
