@@ -60,9 +60,14 @@ def far_points(x: np.ndarray, most: int) -> list[int]:
     return chosen
 
 
-def net(x: np.ndarray, radius: float, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """Centres, row 0 the first, that lie farther apart than radius and have every row within it; each row's nearest."""
-    best, owner, chosen, left = np.full(len(x), np.inf), np.zeros(len(x), np.int64), [], np.arange(len(x))
+def maybe_near(a: np.ndarray, b: np.ndarray, bound) -> np.ndarray:
+    """Rows of b, in single precision as a, that may lie within bound (one number, or one a row) of any row of a."""
+    return np.flatnonzero((a @ b.T).max(0) >= 1 - np.minimum(bound, 2) ** 2 / 2 - 1e-5)
+
+
+def net(x: np.ndarray, x32: np.ndarray, radius: float, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Centres, row 0 the first, that lie farther apart than radius, and for each row one that has it within radius."""
+    owner, chosen, left = np.zeros(len(x), np.int64), [], np.arange(len(x))
     while left.size:
         some = left[:batch]
         close, free, new = distances(x[some], x[some]) <= radius, np.ones(len(some), bool), []
@@ -70,21 +75,22 @@ def net(x: np.ndarray, radius: float, batch: int = 128) -> tuple[np.ndarray, np.
             if free[i]:
                 new.append(i)
                 free &= ~close[i]
-        away = distances(x, x[some[new]])
-        away[some[new], np.arange(len(new))] = 0
-        nearest = away.argmin(1)
-        away = away[np.arange(len(x)), nearest]
-        closer = away < best
-        best[closer], owner[closer] = away[closer], nearest[closer] + len(chosen)
-        chosen += some[new].tolist()
-        left = left[best[left] > radius]
+        centers, rest = some[new], np.ones(len(left), bool)
+        at = maybe_near(x32[centers], x32[left], radius)
+        away = distances(x[left[at]], x[centers])
+        nearest, covered = away.argmin(1), away.min(1) <= radius
+        owner[left[at[covered]]] = nearest[covered] + len(chosen)
+        owner[centers] = np.arange(len(new)) + len(chosen)
+        rest[at[covered]] = rest[new] = False
+        chosen += centers.tolist()
+        left = left[rest]
     return np.array(chosen), owner
 
 
 class Node:
-    """Rows idx of x around the first of them; the children's centres are a net of half the radius."""
+    """Rows idx of x (x32 in single precision) around the first; the children's centres are a net of half the radius."""
 
-    def __init__(self, x: np.ndarray, idx: np.ndarray):
+    def __init__(self, x: np.ndarray, idx: np.ndarray, x32: np.ndarray | None = None):
         self.idx, self.kids, self.center, self.radius = idx, [], x[idx[0]], 0.0
         if len(idx) == 1:
             return
@@ -92,16 +98,16 @@ class Node:
         self.radius = float(np.linalg.norm(own - self.center, axis=1).max())
         if len(idx) <= LEAF:
             return
+        x32 = x.astype(np.float32) if x32 is None else x32
         if self.radius <= SLACK:
             parts = np.array_split(idx, -(-len(idx) // LEAF))
         else:
-            chosen, owner = net(own, self.radius / 2)
-            owner[chosen] = np.arange(len(chosen))
+            chosen, owner = net(own, x32[idx], self.radius / 2)
             rank = np.ones(len(idx), np.int64)
             rank[chosen] = 0  # a centre comes first among its rows
             order = np.lexsort((rank, owner))
             parts = np.split(idx[order], np.flatnonzero(np.diff(owner[order])) + 1)
-        self.kids = [Node(x, p) for p in parts]
+        self.kids = [Node(x, p, x32) for p in parts]
 
     def runs(self) -> list[list[Node]]:
         """The children (or the leaf itself) in order: leaves gathered to about LEAF rows, the others alone."""
@@ -198,27 +204,28 @@ class Links:
     def below(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
         """Compares the leaves among the children of both that stay, and returns the pairs of other children that stay."""
         out, kids = [], b.kids or [b]
-        centers, radii = np.array([k.center for k in kids]), np.array([k.radius for k in kids])
+        first, radii = np.array([k.idx[0] for k in kids]), np.array([k.radius for k in kids])
+        centers, centers32 = self.x[first], self.x32[first]
         inner, done = np.array([bool(k.kids) for k in kids]), 0
         for run in a.runs():
-            near = distances(np.array([k.center for k in run]), centers) <= np.array([k.radius for k in run])[:, None] + radii + self.reach + SLACK
-            if a is b:  # each pair of children once, those within the run below
-                near = near[:, done + len(run) :]
-            done = done + len(run) if a is b else 0
-            self.seen, self.pruned = self.seen + near.size, self.pruned + near.size - int(near.sum())
+            own, wide = np.array([k.idx[0] for k in run]), np.array([k.radius for k in run])
+            done = done + len(run) if a is b else 0  # each pair of children once, those within the run below
+            at = done + maybe_near(self.x32[own], centers32[done:], wide.max() + radii[done:] + self.reach + SLACK)
+            near = distances(self.x[own], centers[at]) <= wide[:, None] + radii[at] + self.reach + SLACK
+            tried = len(run) * (len(kids) - done)
+            self.seen, self.pruned = self.seen + tried, self.pruned + tried - int(near.sum())
             rows = np.concatenate([k.idx for k in run])
             if run[0].kids:
-                out += [(run[0], kids[done + j]) for j in near[0].nonzero()[0].tolist()]
+                out += [(run[0], kids[j]) for j in at[near[0]].tolist()]
                 if a is b:
                     out.append((run[0], run[0]))
                 continue
             if a is b:
                 self.leaves(rows, rows, True)
-            deeper = inner[done:]
-            out += [(run[i], kids[done + j]) for i, j in zip(*(k.tolist() for k in (near & deeper).nonzero()))]
-            met = (near.any(0) & ~deeper).nonzero()[0].tolist()
+            out += [(run[i], kids[at[j]]) for i, j in zip(*(k.tolist() for k in (near & inner[at]).nonzero()))]
+            met = at[near.any(0) & ~inner[at]].tolist()
             if met:
-                self.leaves(rows, np.concatenate([kids[done + j].idx for j in met]))
+                self.leaves(rows, np.concatenate([kids[j].idx for j in met]))
         return out
 
 
@@ -226,7 +233,7 @@ def _pair(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """One pair of blocks (sides 0 and 1) or one block (side 2): rows, copies linked, a row that each is connected with."""
     x = unit(np.stack(pdf["e"].to_numpy()))
     links, side = Links(x, pdf["n"].to_numpy(np.int64), threshold), pdf["side"].to_numpy()
-    trees = [Node(x, rows) for rows in map(np.flatnonzero, (side == 0, side == 1, side == 2)) if len(rows)]
+    trees = [Node(x, rows, links.x32) for rows in map(np.flatnonzero, (side == 0, side == 1, side == 2)) if len(rows)]
     if len(trees) == 2 or side[0] == 2:  # a block may be empty
         links.walk(trees[0], trees[-1])
     got = np.flatnonzero(links.counts)
