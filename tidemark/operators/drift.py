@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FLOOR = 1e-4
+#: ks counts its points in so many ranges
+RANGES = 256
 
 
 def psi(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
@@ -29,7 +31,8 @@ def psi(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int = 10) -> Data
 def ks(ref: DataFrame, cur: DataFrame, col: str, grid: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of a column.
 
-    The running counts are made in value ranges and carried over range totals, so no task sorts all rows. With a grid,
+    The running counts are made in ranges between approximate quantiles of both samples and carried over the ranges'
+    totals, so no task sorts all rows, wherever the values lie. With a grid,
     values are first mapped to so many approximate quantiles of the reference, within 1 / grid of the exact distance.
     """
     both = ref.select(F.col(col).cast("double").alias("x"), F.lit(1).alias("r"), F.lit(0).alias("c")).union(cur.select(F.col(col).cast("double"), F.lit(0), F.lit(1))).filter("x is not null")
@@ -37,10 +40,9 @@ def ks(ref: DataFrame, cur: DataFrame, col: str, grid: int | None = None) -> Dat
         marks = sorted(set(ref.agg(F.percentile_approx(F.col(col).cast("double"), [i / grid for i in range(grid + 1)], 100 * grid)).first()[0]))
         both = both.withColumn("x", F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m < F.col("x"))).cast("double"))
     points = both.groupBy("x").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    lo, hi = both.agg(F.min("x"), F.max("x")).first()
-    width = ((hi or 0.0) - (lo or 0.0)) / 256 or 1.0
-    points = points.withColumn("_b", F.floor((F.col("x") - F.lit(lo or 0.0)) / width))
-    totals = points.groupBy("_b").agg(F.sum("r").alias("tr"), F.sum("c").alias("tc"))  # at most 257 rows
+    bounds = sorted(set(points.agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).first()[0] or []))
+    points = points.withColumn("_b", F.size(F.filter(F.array(*[F.lit(v) for v in bounds]), lambda v: v < F.col("x"))))
+    totals = points.groupBy("_b").agg(F.sum("r").alias("tr"), F.sum("c").alias("tc"))  # at most RANGES rows
     run = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     every = W.orderBy("_b").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     carry = totals.select("_b", F.coalesce(F.sum("tr").over(run), F.lit(0)).alias("br"), F.coalesce(F.sum("tc").over(run), F.lit(0)).alias("bc"), F.sum("tr").over(every).alias("nr"), F.sum("tc").over(every).alias("nc"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -115,8 +116,11 @@ def alerts_stream(bars: DataFrame, n: int = 20, k: float = 3.0, interval: str =
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
