@@ -22,26 +22,25 @@ def ewm(df: DataFrame, averages: dict[str, tuple[str, float]], block: F.Column,
     """df with a column for each of averages: name -> (column, weight a, 0 < a <= 1). The first value is the seed.
 
     Rows in which one of the columns is NULL are left out. Blocks are parted further where a weight is so large that
-    its powers would overflow within them.
+    its powers would overflow within them. The average before the first row counts as the first value, which gives
+    that value back; so the seed comes with the first block and needs no pass of its own.
     """
     names = list(averages)
     df = df.dropna(subset=sorted({col for col, _ in averages.values()}))
     most = min(int(MOST_POWER / -math.log(1 - a)) if a < 1 else 1 for _, a in averages.values())
-    seed = df.groupBy(key).agg(F.min(time).alias("_t0"))
     own = W.partitionBy(key, "_b").orderBy(time)
-    base = df.withColumn("_b", block).join(seed, key).withColumn("_k", F.row_number().over(own) - 1)
+    base = df.withColumn("_b", block).withColumn("_k", F.row_number().over(own) - 1)
     if most < MOST_ROWS:
         base = base.withColumn("_b", F.struct("_b", F.floor(F.col("_k") / most).alias("part"))).withColumn("_k", F.pmod("_k", F.lit(most)))
     for n in names:
         col, a = averages[n]
-        u = F.when(F.col(time) == F.col("_t0"), F.col(col)).otherwise(F.lit(a) * F.col(col))
         q = F.lit(1.0 - a)
-        base = base.withColumn(f"_l_{n}", F.pow(q, F.col("_k")) * F.sum(u * F.pow(q, -F.col("_k"))).over(own))
-    base = base.persist()
+        base = base.withColumn(f"_l_{n}", F.pow(q, F.col("_k")) * F.sum(F.lit(a) * F.col(col) * F.pow(q, -F.col("_k"))).over(own))
     last = [F.max_by(f"_l_{n}", "_k").alias(n) for n in names]
-    blocks = base.groupBy(key, "_b").agg((F.max("_k") + 1).alias("_n"), *last)
-    listed = blocks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_b", "_n", *names))).alias("_s"))
-    start = F.struct(*[F.lit(0.0).alias(n) for n in names])
+    seed = F.struct(*[F.min_by(F.col(averages[n][0]).cast("double"), "_k").alias(n) for n in names]).alias("_x")
+    blocks = base.groupBy(key, "_b").agg((F.max("_k") + 1).alias("_n"), *last, seed)
+    listed = blocks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_b", "_n", *names, "_x"))).alias("_s"))
+    start = F.element_at("_s", 1)["_x"]
     zero = F.struct(start.alias("c"), F.array().cast(f"array<struct<{', '.join(f'{n}:double' for n in names)}>>").alias("out"))
 
     def fold(acc, x):

@@ -10,23 +10,33 @@ from tidemark.operators.bars import log_returns
 from tidemark.schemas import INTERVALS
 
 
-def _alerts(bars: DataFrame, column: str, kind: str, n: int, k: float, interval: str) -> DataFrame:
+#: kind of alert -> the column that it watches
+WATCHED = {"price": "log_return", "volume": "volume"}
+
+
+def _alerts(bars: DataFrame, kinds: tuple[str, ...], n: int, k: float, interval: str) -> DataFrame:
+    """Alerts of the kinds, from one pass over the bars. The windows sort a symbol's bars in one task."""
     w = W.partitionBy("symbol").orderBy("timestamp").rowsBetween(-n, -1)
-    mean, dev = F.avg(column).over(w), F.stddev_pop(column).over(w)
-    score = F.when((F.count(column).over(w) == n) & (dev > 0), (F.col(column) - mean) / F.nullif(dev, F.lit(0.0)))
-    scored = bars.withColumn("score", score).filter(F.abs("score") >= k)
+
+    def alert(kind: str) -> F.Column:
+        x = F.col(WATCHED[kind])
+        mean, dev = F.avg(x).over(w), F.stddev_pop(x).over(w)
+        score = F.when((F.count(x).over(w) == n) & (dev > 0), (x - mean) / F.nullif(dev, F.lit(0.0)))
+        return F.struct(F.lit(kind).alias("kind"), x.alias("value"), score.alias("score"))
+
+    scored = bars.select("symbol", "timestamp", F.array(*map(alert, kinds)).alias("found")).select("symbol", "timestamp", F.inline("found")).filter(F.abs("score") >= k)
     end = F.col("timestamp") + F.expr(f"INTERVAL {INTERVALS[interval]}")
-    return scored.select("symbol", end.alias("detected_at"), F.lit(kind).alias("kind"), F.col(column).alias("value"), "score", F.lit(float(k)).alias("threshold"))
+    return scored.select("symbol", end.alias("detected_at"), "kind", "value", "score", F.lit(float(k)).alias("threshold"))
 
 
 def price_alerts(bars: DataFrame, n: int = 20, k: float = 3.0, interval: str = "1h") -> DataFrame:
     """Bars whose log return lies k deviations from the mean of the n bars before."""
-    return _alerts(log_returns(bars), "log_return", "price", n, k, interval)
+    return _alerts(log_returns(bars), ("price",), n, k, interval)
 
 
 def volume_spikes(bars: DataFrame, n: int = 20, k: float = 3.0, interval: str = "1h") -> DataFrame:
-    return _alerts(bars, "volume", "volume", n, k, interval)
+    return _alerts(bars, ("volume",), n, k, interval)
 
 
 def anomalies(bars: DataFrame, n: int = 20, k: float = 3.0, interval: str = "1h") -> DataFrame:
-    return price_alerts(bars, n, k, interval).unionByName(volume_spikes(bars, n, k, interval))
+    return _alerts(log_returns(bars), tuple(WATCHED), n, k, interval)

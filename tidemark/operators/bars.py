@@ -11,13 +11,17 @@ from tidemark.schemas import INTERVALS, OHLCV
 BAR = ["symbol", "interval", "timestamp", "open", "high", "low", "close", "volume"]
 
 
-def ohlcv(trades: DataFrame, interval: str) -> DataFrame:
-    """Bars of an interval; open and close by (timestamp, trade_id). No bar where there is no trade."""
+def _bars(trades: DataFrame, interval: str, *more: F.Column) -> DataFrame:
     order = F.struct("timestamp", "trade_id")
     bars = trades.groupBy("symbol", F.window("timestamp", INTERVALS[interval]).alias("w")).agg(
-        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume"), F.count(F.lit(1)).alias("trades"),
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume"), *more,
     )
-    return bars.select("symbol", F.lit(interval).alias("interval"), F.col("w.start").alias("timestamp"), "open", "high", "low", "close", "volume", "trades")
+    return bars.withColumns({"interval": F.lit(interval), "timestamp": F.col("w.start")}).drop("w").select(*BAR, *bars.columns[7:])
+
+
+def ohlcv(trades: DataFrame, interval: str) -> DataFrame:
+    """Bars of an interval; open and close by (timestamp, trade_id). No bar where there is no trade."""
+    return _bars(trades, interval, F.count(F.lit(1)).alias("trades"))
 
 
 def rollup_bars(bars: DataFrame, interval: str) -> DataFrame:
@@ -37,17 +41,15 @@ def normalize_klines(klines: DataFrame, version: str) -> DataFrame:
 
 def daily_metrics(trades: DataFrame) -> DataFrame:
     """Per day and symbol: OHLC, volume, trades, vwap, return, volatility of hourly log returns, taker-buy share."""
-    order, day = F.struct("timestamp", "trade_id"), F.to_date("timestamp").alias("date")
     taker = F.sum(F.when(~F.col("is_buyer_maker"), F.col("quantity")).otherwise(0.0))
-    total = F.sum("quantity")
-    days = trades.groupBy("symbol", day).agg(
-        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), total.alias("volume"), F.count(F.lit(1)).alias("trades"),
-        (F.sum(F.col("price") * F.col("quantity")) / F.nullif(total, F.lit(0.0))).alias("vwap"), (taker / F.nullif(total, F.lit(0.0))).alias("taker_buy_share"),
+    hours = log_returns(_bars(trades, "1h", F.count(F.lit(1)).alias("trades"), F.sum(F.col("price") * F.col("quantity")).alias("paid"), taker.alias("taken")))
+    total = F.nullif(F.sum("volume"), F.lit(0.0))
+    days = hours.groupBy("symbol", F.to_date("timestamp").alias("date")).agg(
+        F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"), F.sum("volume").alias("volume"), F.sum("trades").alias("trades"),
+        (F.sum("paid") / total).alias("vwap"), (F.sum("taken") / total).alias("taker_buy_share"), F.stddev_pop("log_return").alias("volatility"),
     )
     before = F.lag("close").over(W.partitionBy("symbol").orderBy("date"))
-    days = days.withColumn("return", F.col("close") / F.nullif(before, F.lit(0.0)) - 1)
-    hours = log_returns(ohlcv(trades, "1h")).groupBy("symbol", F.to_date("timestamp").alias("date")).agg(F.stddev_pop("log_return").alias("volatility"))
-    return days.join(hours, ["symbol", "date"], "left")
+    return days.withColumn("return", F.col("close") / F.nullif(before, F.lit(0.0)) - 1)
 
 
 def log_returns(bars: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import log_returns
-from tidemark.operators.indicators import indicators
+from tidemark.operators.indicators import with_indicators
 from tidemark.schemas import INDICATOR_COLUMNS, INTERVALS
 
 
@@ -19,8 +19,7 @@ def features(bars: DataFrame, lags: int = 3, interval: str = "1h") -> DataFrame:
     w = W.partitionBy("symbol").orderBy("timestamp")
     lagged = {f"close_lag_{i}": F.lag("close", i).over(w) for i in range(1, lags + 1)}
     base = log_returns(bars).withColumns(lagged | {"hour": F.hour("timestamp"), "label": F.lead("close").over(w)})
-    cols = ["symbol", "timestamp", "close", "log_return", *lagged, "hour", "label"]
-    return base.select(cols).join(indicators(bars, interval).drop("interval"), ["symbol", "timestamp"])
+    return with_indicators(base.select("symbol", "timestamp", "close", "log_return", *lagged, "hour", "label"), interval)
 
 
 def inputs(lags: int = 3) -> list[str]:

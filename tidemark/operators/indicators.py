@@ -28,29 +28,56 @@ def ema(bars: DataFrame, n: int = 12, interval: str = "1h") -> DataFrame:
     return ewm(bars, {f"ema_{n}": ("close", 2 / (n + 1))}, block(interval))
 
 
+def _signal(average: str, span: int, signal: int) -> F.Column:
+    """The average over `signal` of an average over another span, from both averages of the same closes.
+
+    The two scans in a row come apart into partial fractions; both start at the first close.
+    """
+    a, b = 2 / (span + 1), 2 / (signal + 1)
+    q, p = 1 - a, 1 - b
+    return (a * p * F.col("_signal") - b * q * F.col(average)) / (p - q)
+
+
+def _moves(bars: DataFrame) -> DataFrame:
+    """bars that have a close, with the rises and falls from the bar before and the bar's number."""
+    w = W.partitionBy("symbol").orderBy("timestamp")
+    move = F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))
+    moved = bars.filter("close is not null").withColumns({"_move": move, "_row": F.row_number().over(w)})
+    return moved.withColumns({"_up": F.greatest("_move", F.lit(0.0)), "_down": F.greatest(-F.col("_move"), F.lit(0.0))})
+
+
+def _rsi(n: int) -> F.Column:
+    value = F.when(F.col("_loss") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("_gain") / F.nullif(F.col("_loss"), F.lit(0.0))))
+    return F.when(F.col("_row") >= n, value)
+
+
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, interval: str = "1h") -> DataFrame:
     """bars with ema_fast, macd and macd_signal; bars without a close are left out."""
-    both = ewm(bars, {f"ema_{fast}": ("close", 2 / (fast + 1)), "_slow": ("close", 2 / (slow + 1))}, block(interval))
-    line = both.withColumn("macd", F.col(f"ema_{fast}") - F.col("_slow")).drop("_slow")
-    return ewm(line, {"macd_signal": ("macd", 2 / (signal + 1))}, block(interval))
+    if signal in (fast, slow):
+        raise ValueError("the span of the signal must differ from the other two")
+    spans = {f"ema_{fast}": fast, "_slow": slow, "_signal": signal}
+    all_three = ewm(bars, {name: ("close", 2 / (n + 1)) for name, n in spans.items()}, block(interval))
+    line, smooth = F.col(f"ema_{fast}") - F.col("_slow"), _signal(f"ema_{fast}", fast, signal) - _signal("_slow", slow, signal)
+    return all_three.withColumns({"macd": line, "macd_signal": smooth}).drop("_slow", "_signal")
 
 
 def rsi(bars: DataFrame, n: int = 14, interval: str = "1h") -> DataFrame:
     """bars with rsi_n by Wilder's averages; 100 where there is no loss, NULL for the first n - 1 bars.
 
-    Bars without a close are left out.
+    Bars without a close are left out. The windows that look back one bar sort a symbol's bars in one task.
     """
-    bars = bars.filter("close is not null")
-    w = W.partitionBy("symbol").orderBy("timestamp")
-    move = F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))
-    moved = bars.withColumns({"_move": move, "_row": F.row_number().over(w)}).withColumns({"_up": F.greatest("_move", F.lit(0.0)), "_down": F.greatest(-F.col("_move"), F.lit(0.0))})
-    both = ewm(moved, {"_gain": ("_up", 1 / n), "_loss": ("_down", 1 / n)}, block(interval))
-    value = F.when(F.col("_loss") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("_gain") / F.nullif(F.col("_loss"), F.lit(0.0))))
-    return both.withColumn(f"rsi_{n}", F.when(F.col("_row") >= n, value)).select(*bars.columns, f"rsi_{n}")
+    both = ewm(_moves(bars), {"_gain": ("_up", 1 / n), "_loss": ("_down", 1 / n)}, block(interval))
+    return both.withColumn(f"rsi_{n}", _rsi(n)).select(*bars.columns, f"rsi_{n}")
+
+
+def with_indicators(bars: DataFrame, interval: str = "1h") -> DataFrame:
+    """bars with all indicator columns, from one scan of five averages. Bars without a close are left out."""
+    averages = {"ema_12": ("close", 2 / 13), "_slow": ("close", 2 / 27), "_signal": ("close", 2 / 10), "_gain": ("_up", 1 / 14), "_loss": ("_down", 1 / 14)}
+    out = ewm(bollinger(_moves(bars)), averages, block(interval))
+    line, smooth = F.col("ema_12") - F.col("_slow"), _signal("ema_12", 12, 9) - _signal("_slow", 26, 9)
+    return out.withColumns({"rsi_14": _rsi(14), "macd": line, "macd_signal": smooth}).select(*bars.columns, *INDICATOR_COLUMNS)
 
 
 def indicators(bars: DataFrame, interval: str = "1h") -> DataFrame:
     """The indicator row of each bar. Bars without a close are left out."""
-    known = bars.filter("close is not null").select("symbol", "interval", "timestamp", "close")
-    out = bollinger(macd(rsi(known, interval=interval), interval=interval))
-    return out.select("symbol", "interval", "timestamp", *INDICATOR_COLUMNS)
+    return with_indicators(bars.select("symbol", "interval", "timestamp", "close"), interval).drop("close")
