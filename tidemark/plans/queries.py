@@ -103,6 +103,25 @@ def read_trades(spark, d):
     return readers.decode(writers.to_messages(trades(spark, d)), TRADES).drop("_corrupt")
 
 
+def _messages(spark, d) -> DataFrame:
+    """Trades as JSON texts, of which each seventh is cut off and so does not parse."""
+    whole = writers.to_messages(trades(spark, d).withColumn("cut", F.col("trade_id") % 7 == 0))
+    cut = F.get_json_object("value", "$.cut") == "true"
+    return whole.select(F.when(cut, F.concat(F.lit("{\"trade_id\":"), F.get_json_object("value", "$.trade_id"))).otherwise(F.col("value")).alias("value"))
+
+
+@register(f"WITH {T} SELECT * FROM trades WHERE trade_id % 7 <> 0")
+def read_parsed(spark, d):
+    """The trades among messages of which some are malformed."""
+    return readers.read_messages(_messages(spark, d), TRADES)[0]
+
+
+@register(f"""WITH {T} SELECT '{{"trade_id":' || trade_id AS _corrupt FROM trades WHERE trade_id % 7 = 0""")
+def read_malformed(spark, d):
+    """The malformed messages, set aside whole."""
+    return readers.read_messages(_messages(spark, d), TRADES)[1]
+
+
 @register(f"{WITH_H} SELECT symbol, \"interval\", \"timestamp\", {r(*BAR)} FROM bars")
 def read_klines(spark, d):
     """Bars published as JSON in two versions and read back, the last version staying."""
@@ -401,3 +420,12 @@ def market_pipeline(spark, d):
     cols = ["symbol", "interval", "timestamp"]
     both = bars.select(*cols, "close", "volume").join(rows.select(*cols, "rsi_14", "macd", "sma_20"), cols)
     return rounded(ntz(both))
+
+
+@register(f"{CLOSED_BARS}, {alerts_sql(('price', 'volume'))} SELECT {ALERT} FROM al")
+def market_pipeline_alerts(spark, d):
+    """The alerts that the whole stream pipeline publishes, decoded from their messages."""
+    folder = st.scratch(spark)
+    st.run_pipeline(st.trade_stream(spark, d), folder)
+    sent = spark.read.schema("key string, value string").json(f"{folder}/topics/anomalies")
+    return rounded(ntz(sent.select(F.from_json("value", st.Alerts.schema).alias("v")).select("v.*")))

@@ -15,6 +15,12 @@ def decode(values: DataFrame, table: Table, column: str = "value") -> DataFrame:
     return values.select(parsed.alias("v")).select("v.*")
 
 
+def read_messages(values: DataFrame, table: Table, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed): texts that parse as rows of the table, and the others in the one column `_corrupt`."""
+    both = decode(values.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit(""))), table)
+    return both.filter("_corrupt is null").drop("_corrupt"), both.filter("_corrupt is not null").select("_corrupt")
+
+
 def read_topic(spark: SparkSession, servers: str, topic: str, table: Table, stream: bool = True) -> DataFrame:
     """A topic's messages; needs Spark's Kafka connector on the class path."""
     reader = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)

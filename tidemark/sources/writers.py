@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +30,22 @@ def to_alerts(df: DataFrame) -> DataFrame:
     return to_messages(df.repartition(1).sortWithinPartitions("detected_at", "symbol", "kind"))
 
 
+def publish_topic(messages: DataFrame, servers: str, topic: str) -> None:
+    """Send messages to a broker's topic; a repeated call sends them again. Needs Spark's Kafka connector."""
+    messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
+def publish_folder(messages: DataFrame, folder: str, topic: str, batch: int = 0) -> None:
+    """Messages as JSON lines in a folder of the topic and batch; a repeated batch replaces itself."""
+    messages.write.mode("overwrite").json(f"{folder.rstrip('/')}/{topic}/batch={batch}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop: Spark has no function of its own to look for and to delete folders."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def upsert(df: DataFrame, path: str, keys: list[str], time: str = "timestamp") -> None:
     """Merge df into the table at path by keys, new rows winning; only the date partitions that df touches are rewritten.
 
@@ -36,8 +55,8 @@ def upsert(df: DataFrame, path: str, keys: list[str], time: str = "timestamp") -
     spark = df.sparkSession
     new = df.withColumn("date", F.to_date(time))
     cols = new.columns
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    fs, where = _file_system(spark, path)
+    there = fs.exists(where)
     both = new.withColumn("_new", F.lit(1))
     if there:
         old = spark.read.schema(new.schema).parquet(path)
@@ -48,8 +67,26 @@ def upsert(df: DataFrame, path: str, keys: list[str], time: str = "timestamp") -
     staged = f"{path.rstrip('/')}_staging"
     merged.write.mode("overwrite").parquet(staged)  # the table is both read and written
     spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    fs.delete(_file_system(spark, staged)[1], True)
 
 
 def retain(df: DataFrame, time: str, interval: str, as_of: F.Column) -> DataFrame:
     """Rows younger than the interval at as_of."""
     return df.filter(F.col(time) > as_of - F.expr(f"INTERVAL {interval}"))
+
+
+def drop_expired(spark: SparkSession, path: str, interval: str, as_of: dt.datetime) -> list[dt.date]:
+    """Delete the date partitions of the table at path in which every row is older than the interval at as_of.
+
+    Returns their dates. No data is read or rewritten; `retain` leaves out the old rows of the day that stays.
+    """
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()]
+    dates = sorted(dt.date.fromisoformat(n[5:]) for n in names if re.fullmatch(r"date=\d{4}-\d\d-\d\d", n))
+    oldest = spark.range(1).select((F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {interval}")).alias("t")).first().t
+    gone = [d for d in dates if dt.datetime.combine(d, dt.time()) + dt.timedelta(days=1) <= oldest]
+    for d in gone:
+        fs.delete(_file_system(spark, f"{path.rstrip('/')}/date={d}")[1], True)
+    return gone

@@ -11,12 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.operators.quality import validate
 from tidemark.schemas import INTERVALS, TRADES
 from tidemark.sources.readers import events_as_trades
-from tidemark.sources.writers import upsert
+from tidemark.sources.writers import publish_folder, publish_topic, to_alerts, to_processed, upsert
 
 DELAY = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -138,23 +138,42 @@ def trade_stream(spark: SparkSession, sf_dir: str, delay: str = DELAY) -> DataFr
     return with_event_time(events_as_trades(events), delay)
 
 
-def run_pipeline(trades: DataFrame, folder: str, interval: str = "1h") -> None:
-    """Validate, deduplicate, build bars, and keep the tables ohlcv, indicators and anomalies under folder.
+def run_pipeline(trades: DataFrame, folder: str, interval: str = "1h", servers: str | None = None) -> None:
+    """Validate, deduplicate, build bars, keep the tables ohlcv, indicators and anomalies under folder, and publish.
 
-    Each table has a query of its own with its checkpoint, so a stopped run resumes where it was; a batch that is
-    repeated after a failure changes nothing, because it is merged by the table's keys.
+    The bars of closed windows are built once, appended to folder/bars, and read from there as a stream by the three
+    queries of the tables. Each query has its own checkpoint, so a stopped run resumes where it was; a batch that is
+    repeated after a failure changes nothing, because it is merged by the table's keys. Indicators go to the topic
+    processed_data and alerts to the topic anomalies: of the broker at servers, at least once, or else to folder/topics,
+    where a repeated batch replaces its own lines.
     """
     spark = trades.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    bars = ohlcv_stream(dedupe_stream(validate(trades, TRADES)[0]), interval)
+    built = ohlcv_stream(dedupe_stream(validate(trades, TRADES)[0]), interval)
+
+    def start(writer: DataStreamWriter, name: str) -> StreamingQuery:
+        return writer.option("checkpointLocation", f"{folder}/checkpoint-{name}").trigger(availableNow=True).start()
+
+    start(built.writeStream.format("parquet").option("path", f"{folder}/bars"), "bars").awaitTermination()
+    bars = spark.readStream.schema(built.schema).parquet(f"{folder}/bars")
     parts = {
-        "ohlcv": (bars.drop("end"), ["symbol", "interval", "timestamp"], "timestamp"),
-        "indicators": (indicators_stream(bars).withColumn("interval", F.lit(interval)), ["symbol", "interval", "timestamp"], "timestamp"),
-        "anomalies": (alerts_stream(bars, interval=interval), ["symbol", "kind", "detected_at"], "detected_at"),
+        "ohlcv": (bars.drop("end"), ["symbol", "interval", "timestamp"], "timestamp", None, None),
+        "indicators": (indicators_stream(bars).withColumn("interval", F.lit(interval)), ["symbol", "interval", "timestamp"], "timestamp", "processed_data", lambda df: to_processed(df, "indicators")),
+        "anomalies": (alerts_stream(bars, interval=interval), ["symbol", "kind", "detected_at"], "detected_at", "anomalies", to_alerts),
     }
-    running = []
-    for name, (df, keys, time) in parts.items():
-        merge = lambda batch, _, name=name, keys=keys, time=time: upsert(batch, f"{folder}/{name}", keys, time=time)
-        running.append(df.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint-{name}").trigger(availableNow=True).start())
+
+    def sink(name: str, keys: list[str], time: str, topic: str | None, messages):
+        def merge(batch: DataFrame, number: int) -> None:
+            batch = batch.persist()  # used more than once; a second computation would run the state again
+            upsert(batch, f"{folder}/{name}", keys, time=time)
+            if topic and servers:
+                publish_topic(messages(batch), servers, topic)
+            elif topic:
+                publish_folder(messages(batch), f"{folder}/topics", topic, number)
+            batch.unpersist()
+
+        return merge
+
+    running = [start(df.writeStream.foreachBatch(sink(name, *rest)), name) for name, (df, *rest) in parts.items()]
     for q in running:
         q.awaitTermination()
