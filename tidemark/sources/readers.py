@@ -9,15 +9,17 @@ from tidemark.schemas import OHLCV, TRADES, Table
 
 
 def decode(values: DataFrame, table: Table, column: str = "value") -> DataFrame:
-    """JSON texts as typed rows of the table; a text that does not parse is kept in `_corrupt`."""
+    """JSON texts as typed rows of the table; a text that does not parse is kept in `_corrupt`, a null one as empty."""
     schema = f"{', '.join(f'`{c}` {t}' for c, t in table.types.items())}, `_corrupt` string"
     parsed = F.from_json(F.col(column).cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return values.select(parsed.alias("v")).select("v.*")
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    blank = F.when(text.rlike(r"^\s*$"), text)  # gives a NULL row and no corrupt record
+    return values.select(parsed.alias("v"), blank.alias("blank")).select(*[f"v.{c}" for c in table.types], F.coalesce("v._corrupt", "blank").alias("_corrupt"))
 
 
 def read_messages(values: DataFrame, table: Table, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(rows, malformed): texts that parse as rows of the table, and the others in the one column `_corrupt`."""
-    both = decode(values.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit(""))), table)
+    both = decode(values, table, column)
     return both.filter("_corrupt is null").drop("_corrupt"), both.filter("_corrupt is not null").select("_corrupt")
 
 
