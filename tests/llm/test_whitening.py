@@ -1,0 +1,101 @@
+"""Whitening against numpy's symmetric eigensolver, exact sums, and odd tables."""
+
+import math
+
+import numpy as np
+import pytest
+
+from tidemark.llm import whitening as wh
+
+
+@pytest.mark.parametrize("size, rank, spread", [(1, 1, 0), (2, 2, 0), (7, 7, 2), (64, 64, 0), (40, 12, 1), (33, 33, 4)])
+def test_factor_and_rotations(size, rank, spread):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(300, rank)) @ rng.normal(size=(rank, size)) * np.exp(rng.normal(size=size) * spread)
+    a = x.T @ x
+    factor = wh.pivoted_cholesky(a)
+    assert factor.shape[1] <= rank and np.allclose(factor @ factor.T, a, rtol=0, atol=1e-12 * a.max())
+    lower = factor[np.argsort([np.flatnonzero(row)[-1] if row.any() else size for row in factor], kind="stable")]
+    assert np.allclose(np.triu(lower[: factor.shape[1]], 1), 0)  # triangular in the order of its pivots
+    values, vectors = wh.one_sided_jacobi(factor)
+    want = np.linalg.eigvalsh(a)[::-1][: len(values)]
+    assert np.allclose(values, want, rtol=1e-9, atol=1e-12 * want[0]) and (np.diff(values) <= 0).all()
+    assert np.allclose(vectors.T @ vectors, np.eye(len(values)), atol=1e-13)
+    assert np.allclose(a @ vectors, vectors * values, atol=1e-11 * want[0])
+
+
+def test_small_eigenvalues_keep_their_digits():
+    rng = np.random.default_rng(1)
+    scale = 10.0 ** -np.arange(8)
+    q = np.linalg.qr(rng.normal(size=(8, 8)))[0]
+    a = scale[:, None] * (q @ np.diag(rng.uniform(1, 2, 8)) @ q.T) * scale
+    values, _ = wh.one_sided_jacobi(wh.pivoted_cholesky(a, eps=1e-30))
+    inverse = np.linalg.inv(a / scale[:, None] / scale) / scale[:, None] / scale
+    assert abs(values[-1] * np.linalg.eigvalsh(inverse)[-1] - 1) < 1e-10
+
+
+def reference(vectors):
+    """x as whole numbers, and all that the query returns, by plain sums."""
+    x = [[math.floor(64 * c) + 1_000_000 for c in v] for v in vectors]
+    n, sums = len(x), [sum(col) for col in zip(*x)]
+    deviation = [sum((n * a - s) ** 2 for a, s in zip(row, sums)) for row in x]
+    y = np.array([[(n * a - s) / n for a, s in zip(row, sums)] for row in x])
+    v = y.T @ y / n
+    e, u = np.linalg.eigh(v)
+    e, u = e[::-1], u[:, ::-1]
+    return n, deviation, y @ u / np.sqrt(np.maximum(e, 1e-300)), e / v.trace()
+
+
+def table(spark, path, rows):
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_query_against_an_eigensolver(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    vectors = (rng.normal(size=(400, 40)) @ rng.normal(size=(40, 40)) + rng.normal(size=40) * 5).astype(np.float32)
+    bad = [(1000, None, 1), (1001, [float("nan")] * 40, 1), (1002, [None] + [0.0] * 39, 1), (1003, [float("inf")] + [0.0] * 39, 1), (1004, [1.0, 2.0], 1), (1005, [], 1), (1006, [1e30] * 40, 1)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)] + [(None, vectors[0].tolist(), 0), (3, vectors[3].tolist(), 0)]
+    n, deviation, w, share = reference([r[1] for r in rows])
+    got = wh.op12_embedding_whitening(spark, table(spark, tmp_path, rows + bad))
+    assert got.dtypes == [("vec_id", "bigint"), ("component", "int"), ("n", "bigint"), ("deviation", "bigint"), ("whitened", "double"), ("explained", "double"), ("identity_error", "double")]
+    found = got.collect()
+    assert len(found) == 32 * len(rows) and {r.n for r in found} == {n}
+    assert {r.vec_id: r.deviation for r in found} == {r[0]: d for r, d in zip(rows, deviation)}
+    assert max(abs(r.explained / share[r.component - 1] - 1) for r in found) < 1e-9
+    assert len({r.identity_error for r in found}) == 1 and found[0].identity_error < 1e-10
+    by = {(r.vec_id, r.component): r.whitened for r in found}
+    for k in range(32):
+        mine = np.array([by[r[0], k + 1] for r in rows])
+        assert min(np.abs(mine - w[:, k]).max(), np.abs(mine + w[:, k]).max()) < 1e-8
+    whole = np.array([[by[r[0], k + 1] for k in range(32)] for r in rows])
+    assert np.abs(whole.T @ whole / n - np.eye(32)).max() < 1e-10
+
+
+@pytest.mark.parametrize("rows", [[], [(1, [1.0, 2.0], 0)], [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0)], [(1, None, 0)]])
+def test_no_directions(spark, tmp_path, rows):
+    assert wh.op12_embedding_whitening(spark, table(spark, tmp_path, rows)).collect() == []
+
+
+def test_fewer_directions_than_dimensions(spark, tmp_path):
+    rows = [(i, [float(i % 5), float(i % 5), 7.0], 0) for i in range(20)]
+    found = wh.op12_embedding_whitening(spark, table(spark, tmp_path, rows)).collect()
+    assert len(found) == 20 and {r.component for r in found} == {1} and abs(found[0].explained - 1) < 1e-12
+    values = sorted({abs(round(r.whitened, 9)) for r in found})
+    assert np.allclose(values, [0, 1 / math.sqrt(2), math.sqrt(2)])
+
+
+def test_extra_columns_and_the_operator_itself(spark):
+    df = spark.createDataFrame([(i, [float(i), float(i * i % 7)], "x", 1.0, 2) for i in range(50)], "id bigint, v array<double>, _x string, deviation double, n int")
+    rows, model, error = wh.whitened(df, components=1, vector="v", key="id")
+    assert rows.columns == ["id", "deviation", "whitened"] and rows.count() == 50
+    assert model.n == 50 and len(model.values) == 1 and error < 1e-12
+
+
+def test_deviations_beyond_a_long():
+    x = np.array([[2**50, 0], [0, 2**50], [5, 5]], np.int64)
+    sums = [int(s) for s in x.sum(0)]
+    model = wh.Whitening(3, sums, np.zeros(0), np.zeros((2, 0)), 0.0)
+    assert model.deviations(x) == [None, None, None]
+    small = np.array([[1, 2], [3, 5]], np.int64)
+    assert wh.Whitening(2, [4, 7], np.zeros(0), np.zeros((2, 0)), 0.0).deviations(small) == [(2 - 4) ** 2 + (4 - 7) ** 2, (6 - 4) ** 2 + (10 - 7) ** 2]
