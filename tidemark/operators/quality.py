@@ -15,11 +15,11 @@ def _accepts(actual: str, wanted: str) -> bool:
     return actual == wanted or (wanted in TEMPORAL and actual in TEMPORAL) or (wanted in ("double", "bigint") and actual in ("tinyint", "smallint", "int", "bigint", "float", "double") and not (wanted == "bigint" and actual in ("float", "double")))
 
 
-def validate(df: DataFrame, table: Table) -> tuple[DataFrame, DataFrame]:
+def validate(df: DataFrame, table: Table, before: F.Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): rows with every required field present and every known field of its type.
 
     A text column is tried as the wanted type. Extra columns are accepted and kept. Rejected rows keep their values
-    and have the list `reasons`.
+    and have the list `reasons`; where `before` gives a list, that is the reasons.
     """
     kinds, reasons, typed = dict(df.dtypes), [], []
     for c, wanted in table.types.items():
@@ -32,7 +32,8 @@ def validate(df: DataFrame, table: Table) -> tuple[DataFrame, DataFrame]:
         if not _accepts(kinds[c], wanted):
             reasons.append(F.when(F.col(c).isNotNull() & F.col(c).try_cast(wanted).isNull(), F.lit(f"{c}: type")))
             typed.append(c)
-    marked = df.withColumn("reasons", F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>"))
+    found = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
+    marked = df.withColumn("reasons", found if before is None else F.coalesce(before, found))
     ok = marked.filter(F.size("reasons") == 0).withColumns({c: F.col(c).try_cast(table.types[c]) for c in typed}).drop("reasons")
     return ok, marked.filter(F.size("reasons") > 0)
 
@@ -42,7 +43,11 @@ def reject_counts(bad: DataFrame, table: Table) -> DataFrame:
 
 
 def dedupe_trades(trades: DataFrame) -> DataFrame:
-    """One row for each (symbol, trade_id), the earliest; rows without a trade_id all stay."""
-    first = W.partitionBy("symbol", "trade_id").orderBy("timestamp", "price", "quantity")
-    known = trades.filter("trade_id is not null").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return known.unionByName(trades.filter("trade_id is null"))
+    """One row for each (symbol, trade_id), the earliest; rows without a trade_id all stay.
+
+    The input is read once: rows without an id have a number of their own in the key, dealt by their values.
+    """
+    own = F.when(F.col("trade_id").isNull(), F.xxhash64(*[F.col(c) for c in trades.columns]))
+    first = W.partitionBy("symbol", "trade_id", "_own").orderBy("timestamp", "price", "quantity")
+    ranked = trades.withColumn("_own", own).withColumn("_n", F.row_number().over(first))
+    return ranked.filter("_n = 1 or trade_id is null").drop("_n", "_own")

@@ -13,6 +13,7 @@ from tidemark.operators import drift, forecast, lookups, quality
 from tidemark.operators import indicators as ind
 from tidemark.schemas import INDICATORS, INTERVALS, OHLCV, TRADES
 from tidemark.sources import readers, writers
+from tidemark.streaming import ingest
 from tidemark.streaming import operators as st
 
 QUERIES: dict = {}
@@ -381,7 +382,11 @@ def latest_trade(spark, d):
 
 @register(f"{WITH_H} SELECT symbol, \"interval\", \"timestamp\", {r(*BAR)} FROM bars WHERE symbol = 'click' AND \"timestamp\" >= TIMESTAMP '2024-01-05' AND \"timestamp\" < TIMESTAMP '2024-01-12'")
 def bars_range(spark, d):
-    return rounded(lookups.bars_range(hourly(spark, d), "click", "2024-01-05", "2024-01-12").select(b.BAR))
+    """A week of one symbol's bars out of a stored table of bars."""
+    path = st.scratch(spark)
+    bars = hourly(spark, d).drop("trades").withColumn("date", F.to_date("timestamp"))
+    writers.write_laid_out(bars, path, ["interval", "date"], ["symbol", "timestamp"])
+    return rounded(lookups.stored_bars(spark, path, "1h", "click", "2024-01-05", "2024-01-12").select(b.BAR))
 
 
 # ---- streams
@@ -422,6 +427,23 @@ def market_pipeline(spark, d):
     return rounded(ntz(both))
 
 
+@register(f"""WITH {T}, m AS (SELECT *, CASE WHEN trade_id % 17 = 0 THEN 'malformed' ELSE concat_ws('; ', CASE WHEN trade_id % 11 = 0 THEN 'symbol: missing' END,
+ CASE WHEN trade_id % 7 = 0 THEN 'price: missing' WHEN trade_id % 13 = 0 THEN 'price: type' END) END AS reasons FROM trades)
+SELECT CASE WHEN reasons = '' THEN 'raw_trades' ELSE 'rejects' END AS "table", trade_id, CASE WHEN reasons = '' THEN symbol END AS symbol, CASE WHEN reasons = '' THEN price END AS price,
+ CASE WHEN reasons = '' THEN quantity END AS quantity, CASE WHEN reasons = '' THEN "timestamp" END AS "timestamp", nullif(reasons, '') AS reasons FROM m""")
+def pipeline_rejects(spark, d):
+    """Messages of which some are broken, as a stream: the table of valid trades and the table of rejects, read back."""
+    folder, text = st.scratch(spark), F.get_json_object("value", "$.trade_id")
+    cut = F.when(text.cast("bigint") % 17 == 0, F.concat(F.lit("{\"trade_id\":"), text)).otherwise(F.col("value"))
+    writers.to_messages(broken(spark, d)).select(cut.alias("value")).write.parquet(f"{folder}/in")
+    for _ in range(2):  # the second call finds nothing new
+        ingest.ingest(spark.readStream.schema("value string").parquet(f"{folder}/in"), folder, TRADES)
+    rows = ingest.ingested(spark, folder, TRADES).select(F.lit("raw_trades").alias("table"), "trade_id", "symbol", "price", "quantity", "timestamp", F.lit(None).cast("string").alias("reasons"))
+    number = F.regexp_extract("value", '"trade_id":(\\d+)', 1).cast("bigint")
+    bad = ingest.rejected(spark, folder).select(F.lit("rejects").alias("table"), number.alias("trade_id"), F.array_join("reasons", "; ").alias("reasons"))
+    return rows.unionByName(bad, allowMissingColumns=True)
+
+
 @register(f"{CLOSED_BARS}, {alerts_sql(('price', 'volume'))} SELECT {ALERT} FROM al")
 def market_pipeline_alerts(spark, d):
     """The alerts that the whole stream pipeline publishes, decoded from their messages."""

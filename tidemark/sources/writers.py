@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: the folder of a partition column's null, which is read back as a null
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 #: JSON times keep microseconds
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -46,27 +50,65 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def upsert(df: DataFrame, path: str, keys: list[str], time: str = "timestamp") -> None:
-    """Merge df into the table at path by keys, new rows winning; only the date partitions that df touches are rewritten.
+def publish_table(df: DataFrame, path: str, batch: int) -> None:
+    """df as the folder batch=<number> of the table at path, moved there whole; a batch that is there already stays.
 
-    Repeating a call changes nothing. One writer at a time. Within df the last row by its own order of columns wins
-    where a key repeats.
+    So a batch that is repeated after a failure changes nothing, and a stream that reads the table sees each file once.
+    """
+    spark = df.sparkSession
+    fs, there = _file_system(spark, f"{path.rstrip('/')}/batch={batch}")
+    if fs.exists(there):
+        return
+    staged = f"{path.rstrip('/')}/_staging-{batch}"  # readers leave out names that begin so
+    df.write.mode("overwrite").parquet(staged)
+    if not fs.rename(_file_system(spark, staged)[1], there):
+        raise OSError(f"{staged} could not be moved to {there}")
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.mkdirs(where)
+
+
+def write_laid_out(df: DataFrame, path: str, parts: Sequence[str], order: Sequence[str], mode: str = "overwrite") -> None:
+    """df as Parquet in folders by parts, its rows sorted by order within them.
+
+    Rows are dealt by ranges of all these columns, so a folder with many rows is written by many tasks, each of which
+    has a range of the order: readers leave out files, row groups and pages by their least and largest values. The
+    columns of parts are kept free of empty texts and from being known as constants, or the write would sort the rows
+    once more, by parts alone.
+    """
+    here = F.spark_partition_id() >= 0
+    texts = [c for c in parts if df.schema[c].dataType.typeName() == "string"]
+    free = {c: F.when(here, F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(NO_VALUE))).otherwise(F.lit(NO_VALUE)) for c in texts}
+    df = df.withColumns(free | {c: F.when(here, F.col(c)) for c in parts if c not in texts})
+    dealt = df.repartitionByRange(*parts, *order).sortWithinPartitions(*parts, *order)
+    dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def upsert(df: DataFrame, path: str, keys: list[str], time: str = "timestamp", parts: Sequence[str] = ("date",)) -> None:
+    """Merge df into the table at path by keys, new rows winning; only the folders of parts that df touches are read and rewritten.
+
+    parts are key columns or `date`, the day of the time column. Within a folder rows are sorted by the keys. Repeating
+    a call changes nothing. One writer at a time. Within df the last row by its own order of columns wins where a key
+    repeats.
     """
     spark = df.sparkSession
     new = df.withColumn("date", F.to_date(time))
     cols = new.columns
     fs, where = _file_system(spark, path)
-    there = fs.exists(where)
     both = new.withColumn("_new", F.lit(1))
-    if there:
-        old = spark.read.schema(new.schema).parquet(path)
-        dates = new.select("date").distinct()
-        both = both.unionByName(old.join(F.broadcast(dates), "date", "left_semi").withColumn("_new", F.lit(0)))
-    last = W.partitionBy(*keys, "date").orderBy(F.desc("_new"), *[F.desc(c) for c in cols if c not in keys])
+    if fs.exists(where):
+        touched = new.select(*parts).distinct().collect()  # a row a folder that this batch writes
+        near = reduce(lambda a, b: a & b, [F.col(p).isin([t[p] for t in touched]) for p in parts])
+        here = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(p) == t[p] for p in parts]) for t in touched]) if 0 < len(touched) <= 64 and len(parts) > 1 else F.lit(True)
+        old = spark.read.schema(new.schema).parquet(path).filter(near & here)
+        both = both.unionByName(old.withColumn("_new", F.lit(0)))
+    last = W.partitionBy(*dict.fromkeys([*keys, *parts])).orderBy(F.desc("_new"), *[F.desc(c) for c in cols if c not in keys])
     merged = both.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(cols)
     staged = f"{path.rstrip('/')}_staging"
     merged.write.mode("overwrite").parquet(staged)  # the table is both read and written
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    write_laid_out(spark.read.schema(new.schema).parquet(staged), path, parts, [k for k in keys if k not in parts])
     fs.delete(_file_system(spark, staged)[1], True)
 
 
@@ -76,17 +118,18 @@ def retain(df: DataFrame, time: str, interval: str, as_of: F.Column) -> DataFram
 
 
 def drop_expired(spark: SparkSession, path: str, interval: str, as_of: dt.datetime) -> list[dt.date]:
-    """Delete the date partitions of the table at path in which every row is older than the interval at as_of.
+    """Delete the date folders of the table at path, also within other folders, in which every row is older than the interval at as_of.
 
     Returns their dates. No data is read or rewritten; `retain` leaves out the old rows of the day that stays.
     """
     fs, where = _file_system(spark, path)
     if not fs.exists(where):
         return []
-    names = [f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()]
-    dates = sorted(dt.date.fromisoformat(n[5:]) for n in names if re.fullmatch(r"date=\d{4}-\d\d-\d\d", n))
+    root = path.rstrip("/")
+    found = [f.getPath() for depth in ("", "/*") for f in fs.globStatus(_file_system(spark, f"{root}{depth}/date=*")[1]) or []]
+    folders = [(dt.date.fromisoformat(f.getName()[5:]), f) for f in found if re.fullmatch(r"date=\d{4}-\d\d-\d\d", f.getName())]
     oldest = spark.range(1).select((F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {interval}")).alias("t")).first().t
-    gone = [d for d in dates if dt.datetime.combine(d, dt.time()) + dt.timedelta(days=1) <= oldest]
-    for d in gone:
-        fs.delete(_file_system(spark, f"{path.rstrip('/')}/date={d}")[1], True)
-    return gone
+    gone = [(d, f) for d, f in folders if dt.datetime.combine(d, dt.time()) + dt.timedelta(days=1) <= oldest]
+    for _, f in gone:
+        fs.delete(f, True)
+    return sorted({d for d, _ in gone})

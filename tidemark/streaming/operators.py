@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tidemark.operators.quality import validate
 from tidemark.schemas import INTERVALS, TRADES
 from tidemark.sources.readers import events_as_trades
 from tidemark.sources.writers import publish_folder, publish_topic, to_alerts, to_processed, upsert
+from tidemark.streaming.ingest import ingest, ingested, state_store
 
 DELAY = "10 minutes"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def with_event_time(df: DataFrame, delay: str = DELAY, time: str = "timestamp") -> DataFrame:
@@ -126,8 +125,8 @@ def scratch(spark: SparkSession) -> str:
 def drain(stream: DataFrame, folder: str) -> DataFrame:
     """What the stream gives for all input there is now, written as Parquet and read back. A repeated call resumes."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -138,42 +137,46 @@ def trade_stream(spark: SparkSession, sf_dir: str, delay: str = DELAY) -> DataFr
     return with_event_time(events_as_trades(events), delay)
 
 
-def run_pipeline(trades: DataFrame, folder: str, interval: str = "1h", servers: str | None = None) -> None:
-    """Validate, deduplicate, build bars, keep the tables ohlcv, indicators and anomalies under folder, and publish.
+def run_pipeline(source: DataFrame, folder: str, interval: str = "1h", servers: str | None = None, delay: str = DELAY) -> None:
+    """Sort out, deduplicate, build bars, keep tables under folder, and publish.
 
-    The bars of closed windows are built once, appended to folder/bars, and read from there as a stream by the three
-    queries of the tables. Each query has its own checkpoint, so a stopped run resumes where it was; a batch that is
-    repeated after a failure changes nothing, because it is merged by the table's keys. Indicators go to the topic
-    processed_data and alerts to the topic anomalies: of the broker at servers, at least once, or else to folder/topics,
-    where a repeated batch replaces its own lines.
+    source: a stream of messages with a column `value`, or of trades. Its valid rows go to folder/raw_trades and all
+    others, with their reasons, to folder/rejects. The bars of closed windows are built once from the valid rows,
+    appended to folder/bars, and read from there as a stream by the queries of the tables ohlcv, indicators and
+    anomalies. Each query has its own checkpoint, so a stopped run resumes where it was; a batch that is repeated after a
+    failure changes nothing, because it is kept once by its number or merged by the table's keys. Indicators go to the
+    topic processed_data and alerts to the topic anomalies: of the broker at servers, at least once, or else to
+    folder/topics, where a repeated batch replaces its own lines.
     """
-    spark = trades.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    built = ohlcv_stream(dedupe_stream(validate(trades, TRADES)[0]), interval)
+    spark = source.sparkSession
+    ingest(source, folder, TRADES)
+    built = ohlcv_stream(dedupe_stream(with_event_time(ingested(spark, folder, TRADES, stream=True), delay)), interval)
 
     def start(writer: DataStreamWriter, name: str) -> StreamingQuery:
         return writer.option("checkpointLocation", f"{folder}/checkpoint-{name}").trigger(availableNow=True).start()
 
-    start(built.writeStream.format("parquet").option("path", f"{folder}/bars"), "bars").awaitTermination()
-    bars = spark.readStream.schema(built.schema).parquet(f"{folder}/bars")
-    parts = {
-        "ohlcv": (bars.drop("end"), ["symbol", "interval", "timestamp"], "timestamp", None, None),
-        "indicators": (indicators_stream(bars).withColumn("interval", F.lit(interval)), ["symbol", "interval", "timestamp"], "timestamp", "processed_data", lambda df: to_processed(df, "indicators")),
-        "anomalies": (alerts_stream(bars, interval=interval), ["symbol", "kind", "detected_at"], "detected_at", "anomalies", to_alerts),
-    }
-
-    def sink(name: str, keys: list[str], time: str, topic: str | None, messages):
-        def merge(batch: DataFrame, number: int) -> None:
-            batch = batch.persist()  # used more than once; a second computation would run the state again
-            upsert(batch, f"{folder}/{name}", keys, time=time)
-            if topic and servers:
-                publish_topic(messages(batch), servers, topic)
-            elif topic:
-                publish_folder(messages(batch), f"{folder}/topics", topic, number)
-            batch.unpersist()
-
-        return merge
-
-    running = [start(df.writeStream.foreachBatch(sink(name, *rest)), name) for name, (df, *rest) in parts.items()]
-    for q in running:
-        q.awaitTermination()
+    with state_store(spark):
+        start(built.writeStream.format("parquet").option("path", f"{folder}/bars"), "bars").awaitTermination()
+        bars = spark.readStream.schema(built.schema).parquet(f"{folder}/bars")
+        keys, parts = ["symbol", "interval", "timestamp"], ["interval", "date"]
+        tables = {
+            "ohlcv": (bars.drop("end"), keys, "timestamp", parts, None, None),
+            "indicators": (indicators_stream(bars).withColumn("interval", F.lit(interval)), keys, "timestamp", parts, "processed_data", lambda df: to_processed(df, "indicators")),
+            "anomalies": (alerts_stream(bars, interval=interval), ["symbol", "kind", "detected_at"], "detected_at", ["date"], "anomalies", to_alerts),
+        }
+
+        def sink(name: str, keys: list[str], time: str, parts: list[str], topic: str | None, messages):
+            def merge(batch: DataFrame, number: int) -> None:
+                batch = batch.persist()  # used more than once; a second computation would run the state again
+                upsert(batch, f"{folder}/{name}", keys, time, parts)
+                if topic and servers:
+                    publish_topic(messages(batch), servers, topic)
+                elif topic:
+                    publish_folder(messages(batch), f"{folder}/topics", topic, number)
+                batch.unpersist()
+
+            return merge
+
+        running = [start(df.writeStream.foreachBatch(sink(name, *rest)), name) for name, (df, *rest) in tables.items()]
+        for q in running:
+            q.awaitTermination()
