@@ -106,8 +106,6 @@ def test_macd_alone_equals_the_indicator_row(spark):
     a = [(r.macd, r.macd_signal) for r in indicators.macd(df).orderBy("timestamp").collect()]
     b = [(r.macd, r.macd_signal) for r in indicators.indicators(df).orderBy("timestamp").collect()]
     assert all(abs(x - y) < 1e-9 for p, q in zip(a, b) for x, y in zip(p, q))
-    with pytest.raises(ValueError):
-        indicators.macd(df, signal=12)
 
 
 def test_features_and_alerts(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.halo import numbered, windowed
 from tidemark.schemas import INTERVALS, OHLCV
 
 BAR = ["symbol", "interval", "timestamp", "open", "high", "low", "close", "volume"]
@@ -52,7 +53,17 @@ def daily_metrics(trades: DataFrame) -> DataFrame:
     return days.withColumn("return", F.col("close") / F.nullif(before, F.lit(0.0)) - 1)
 
 
-def log_returns(bars: DataFrame) -> DataFrame:
+def block(interval: str) -> F.Column:
+    """A day of minute bars, a month of longer ones: at most 1,440 rows."""
+    return F.date_trunc("day" if interval in ("1m", "5m", "15m") else "month", F.col("timestamp"))
+
+
+def log_return(before: F.Column) -> F.Column:
+    """Of a close to the close before; NULL where either is not positive."""
+    return F.when((F.col("close") > 0) & (before > 0), F.log(F.col("close") / before))
+
+
+def log_returns(bars: DataFrame, interval: str = "1h") -> DataFrame:
     """bars with log_return to the bar before; NULL for a first bar and where a close is not positive."""
-    before = F.lag("close").over(W.partitionBy("symbol").orderBy("timestamp"))
-    return bars.withColumn("log_return", F.when((F.col("close") > 0) & (before > 0), F.log(F.col("close") / before)))
+    found = windowed(numbered(bars, block(interval)), lambda w: {"log_return": log_return(F.lag("close").over(w))}, before=1)
+    return found.select(*bars.columns, "log_return")

@@ -6,20 +6,22 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import log_returns
+from tidemark.functions.halo import numbered, windowed
+from tidemark.operators.bars import block, log_return
 from tidemark.operators.indicators import with_indicators
 from tidemark.schemas import INDICATOR_COLUMNS, INTERVALS
 
 
 def features(bars: DataFrame, lags: int = 3, interval: str = "1h") -> DataFrame:
     """Lagged closes, the log return, the indicators, the hour, and the next close as label."""
-    w = W.partitionBy("symbol").orderBy("timestamp")
-    lagged = {f"close_lag_{i}": F.lag("close", i).over(w) for i in range(1, lags + 1)}
-    base = log_returns(bars).withColumns(lagged | {"hour": F.hour("timestamp"), "label": F.lead("close").over(w)})
-    return with_indicators(base.select("symbol", "timestamp", "close", "log_return", *lagged, "hour", "label"), interval)
+    def step(w) -> dict[str, F.Column]:
+        lagged = {f"close_lag_{i}": F.lag("close", i).over(w) for i in range(1, lags + 1)}
+        return lagged | {"log_return": log_return(F.lag("close").over(w)), "label": F.lead("close").over(w)}
+
+    base = windowed(numbered(bars, block(interval)), step, before=max(lags, 1), after=1).withColumn("hour", F.hour("timestamp"))
+    return with_indicators(base.select("symbol", "timestamp", "close", "log_return", *[f"close_lag_{i}" for i in range(1, lags + 1)], "hour", "label"), interval)
 
 
 def inputs(lags: int = 3) -> list[str]:
@@ -48,9 +50,9 @@ def predict(model: PipelineModel, rows: DataFrame, name: str, interval: str = "1
 def naive(bars: DataFrame, interval: str = "1h") -> DataFrame:
     """The baseline: the next close is the last one."""
     step = F.expr(f"INTERVAL {INTERVALS[interval]}")
-    label = F.lead("close").over(W.partitionBy("symbol").orderBy("timestamp"))
-    at = F.col("timestamp") + step
-    return bars.select("symbol", at.alias("predicted_at"), at.alias("target_time"), F.col("close").alias("prediction"), F.lit("naive").alias("model"), label.alias("label"))
+    at, label = F.col("timestamp") + step, F.col("label")
+    known = windowed(numbered(bars, block(interval)), lambda w: {"label": F.lead("close").over(w)}, after=1)
+    return known.select("symbol", at.alias("predicted_at"), at.alias("target_time"), F.col("close").alias("prediction"), F.lit("naive").alias("model"), label)
 
 
 def evaluate(predictions: DataFrame) -> DataFrame:

@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.halo import numbered, windowed
 from tidemark.functions.recurrence import ewm
+from tidemark.operators.bars import block
 from tidemark.schemas import INDICATOR_COLUMNS
 
 
-def block(interval: str) -> F.Column:
-    """A day of minute bars, a month of longer ones: at most 1,440 rows."""
-    return F.date_trunc("day" if interval in ("1m", "5m", "15m") else "month", F.col("timestamp"))
+def _bands(n: int, k: float):
+    """sma_n and the bands, over a window that looks back n - 1 bars."""
 
+    def step(every) -> dict[str, F.Column]:
+        w = every.rowsBetween(1 - n, 0)
+        full = F.count("close").over(w) == n
+        mean, dev = F.when(full, F.avg("close").over(w)), F.when(full, F.stddev_pop("close").over(w))
+        return {f"sma_{n}": mean, "bollinger_upper": mean + k * dev, "bollinger_lower": mean - k * dev}
 
-def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
+    return step
+
+
+def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0, interval: str = "1h") -> DataFrame:
     """bars with sma_n and the bands; NULL before the n-th bar."""
-    w = W.partitionBy("symbol").orderBy("timestamp").rowsBetween(1 - n, 0)
-    full = F.count("close").over(w) == n
-    mean, dev = F.when(full, F.avg("close").over(w)), F.when(full, F.stddev_pop("close").over(w))
-    return bars.withColumns({f"sma_{n}": mean, "bollinger_upper": mean + k * dev, "bollinger_lower": mean - k * dev})
+    found = windowed(numbered(bars, block(interval)), _bands(n, k), before=n - 1)
+    return found.select(*bars.columns, f"sma_{n}", "bollinger_upper", "bollinger_lower")
 
 
 def ema(bars: DataFrame, n: int = 12, interval: str = "1h") -> DataFrame:
@@ -38,12 +44,10 @@ def _signal(average: str, span: int, signal: int) -> F.Column:
     return (a * p * F.col("_signal") - b * q * F.col(average)) / (p - q)
 
 
-def _moves(bars: DataFrame) -> DataFrame:
-    """bars that have a close, with the rises and falls from the bar before and the bar's number."""
-    w = W.partitionBy("symbol").orderBy("timestamp")
-    move = F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))
-    moved = bars.filter("close is not null").withColumns({"_move": move, "_row": F.row_number().over(w)})
-    return moved.withColumns({"_up": F.greatest("_move", F.lit(0.0)), "_down": F.greatest(-F.col("_move"), F.lit(0.0))})
+def _moves(every) -> dict[str, F.Column]:
+    """The rises and falls from the bar before and the bar's number, from 1."""
+    move = F.coalesce(F.col("close") - F.lag("close").over(every), F.lit(0.0))
+    return {"_up": F.greatest(move, F.lit(0.0)), "_down": F.greatest(-move, F.lit(0.0)), "_row": F.col("_rn") + 1}
 
 
 def _rsi(n: int) -> F.Column:
@@ -52,28 +56,33 @@ def _rsi(n: int) -> F.Column:
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, interval: str = "1h") -> DataFrame:
-    """bars with ema_fast, macd and macd_signal; bars without a close are left out."""
+    """bars with ema_fast, macd and macd_signal; bars without a close are left out.
+
+    Where the span of the signal is one of the other two, the signal takes a scan of its own over macd.
+    """
+    spans = {f"ema_{fast}": fast, "_slow": slow} | ({} if signal in (fast, slow) else {"_signal": signal})
+    averages = ewm(bars, {name: ("close", 2 / (n + 1)) for name, n in spans.items()}, block(interval))
+    lines = averages.withColumn("macd", F.col(f"ema_{fast}") - F.col("_slow"))
     if signal in (fast, slow):
-        raise ValueError("the span of the signal must differ from the other two")
-    spans = {f"ema_{fast}": fast, "_slow": slow, "_signal": signal}
-    all_three = ewm(bars, {name: ("close", 2 / (n + 1)) for name, n in spans.items()}, block(interval))
-    line, smooth = F.col(f"ema_{fast}") - F.col("_slow"), _signal(f"ema_{fast}", fast, signal) - _signal("_slow", slow, signal)
-    return all_three.withColumns({"macd": line, "macd_signal": smooth}).drop("_slow", "_signal")
+        return ewm(lines, {"macd_signal": ("macd", 2 / (signal + 1))}, block(interval)).drop("_slow")
+    return lines.withColumn("macd_signal", _signal(f"ema_{fast}", fast, signal) - _signal("_slow", slow, signal)).drop("_slow", "_signal")
 
 
 def rsi(bars: DataFrame, n: int = 14, interval: str = "1h") -> DataFrame:
     """bars with rsi_n by Wilder's averages; 100 where there is no loss, NULL for the first n - 1 bars.
 
-    Bars without a close are left out. The windows that look back one bar sort a symbol's bars in one task.
+    Bars without a close are left out.
     """
-    both = ewm(_moves(bars), {"_gain": ("_up", 1 / n), "_loss": ("_down", 1 / n)}, block(interval))
+    moved = windowed(numbered(bars.filter("close is not null"), block(interval)), _moves, before=1)
+    both = ewm(moved, {"_gain": ("_up", 1 / n), "_loss": ("_down", 1 / n)}, F.col("_chunk"))
     return both.withColumn(f"rsi_{n}", _rsi(n)).select(*bars.columns, f"rsi_{n}")
 
 
 def with_indicators(bars: DataFrame, interval: str = "1h") -> DataFrame:
     """bars with all indicator columns, from one scan of five averages. Bars without a close are left out."""
     averages = {"ema_12": ("close", 2 / 13), "_slow": ("close", 2 / 27), "_signal": ("close", 2 / 10), "_gain": ("_up", 1 / 14), "_loss": ("_down", 1 / 14)}
-    out = ewm(bollinger(_moves(bars)), averages, block(interval))
+    moved = windowed(numbered(bars.filter("close is not null"), block(interval)), _moves, _bands(20, 2.0), before=19)
+    out = ewm(moved, averages, F.col("_chunk"))
     line, smooth = F.col("ema_12") - F.col("_slow"), _signal("ema_12", 12, 9) - _signal("_slow", 26, 9)
     return out.withColumns({"rsi_14": _rsi(14), "macd": line, "macd_signal": smooth}).select(*bars.columns, *INDICATOR_COLUMNS)
 
