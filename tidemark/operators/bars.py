@@ -42,15 +42,39 @@ def normalize_klines(klines: DataFrame, version: str) -> DataFrame:
 
 def daily_metrics(trades: DataFrame) -> DataFrame:
     """Per day and symbol: OHLC, volume, trades, vwap, return, volatility of hourly log returns, taker-buy share."""
+    return daily_from_hours(hourly_sums(trades))
+
+
+def hourly_sums(trades: DataFrame) -> DataFrame:
+    """Hourly bars with what daily metrics add up: trades, paid and the volume that takers bought."""
     taker = F.sum(F.when(~F.col("is_buyer_maker"), F.col("quantity")).otherwise(0.0))
-    hours = log_returns(_bars(trades, "1h", F.count(F.lit(1)).alias("trades"), F.sum(F.col("price") * F.col("quantity")).alias("paid"), taker.alias("taken")))
+    return _bars(trades, "1h", F.count(F.lit(1)).alias("trades"), F.sum(F.col("price") * F.col("quantity")).alias("paid"), taker.alias("taken"))
+
+
+def daily_from_hours(hours: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Daily metrics of hourly_sums(). before: symbol and close of the last bar before these hours, where there is one.
+
+    A day's at most 24 closes are gathered; only the day's first return needs a close of the day before, which is one
+    row a day.
+    """
     total = F.nullif(F.sum("volume"), F.lit(0.0))
     days = hours.groupBy("symbol", F.to_date("timestamp").alias("date")).agg(
         F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"), F.sum("volume").alias("volume"), F.sum("trades").alias("trades"),
-        (F.sum("paid") / total).alias("vwap"), (F.sum("taken") / total).alias("taker_buy_share"), F.stddev_pop("log_return").alias("volatility"),
+        (F.sum("paid") / total).alias("vwap"), (F.sum("taken") / total).alias("taker_buy_share"), F.sort_array(F.collect_list(F.struct("timestamp", "close"))).alias("_hours"),
     )
-    before = F.lag("close").over(W.partitionBy("symbol").orderBy("date"))
-    return days.withColumn("return", F.col("close") / F.nullif(before, F.lit(0.0)) - 1)
+    last = F.lag("close").over(W.partitionBy("symbol").orderBy("date"))
+    if before is None:
+        days = days.withColumn("_last", last)
+    else:
+        days = days.join(before.select("symbol", F.col("close").alias("_known")), "symbol", "left").withColumn("_last", F.coalesce(last, "_known")).drop("_known")
+    closes = F.col("_hours.close")
+    pairs = F.arrays_zip(closes.alias("x"), F.concat(F.array("_last"), F.slice(closes, 1, F.size(closes) - 1)).alias("y"))
+    moves = F.array_compact(F.transform(pairs, lambda p: F.when((p["x"] > 0) & (p["y"] > 0), F.log(p["x"] / p["y"]))))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    days = days.withColumn("_moves", moves).withColumn("_mean", add(F.col("_moves")) / F.nullif(F.size("_moves"), F.lit(0)))
+    spread = F.sqrt(add(F.transform("_moves", lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))) / F.nullif(F.size("_moves"), F.lit(0)))
+    out = days.withColumns({"volatility": spread, "return": F.col("close") / F.nullif("_last", F.lit(0.0)) - 1})
+    return out.drop("_hours", "_last", "_moves", "_mean")
 
 
 def block(interval: str) -> F.Column:

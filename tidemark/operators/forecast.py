@@ -15,13 +15,18 @@ from tidemark.schemas import INDICATOR_COLUMNS, INTERVALS
 
 
 def features(bars: DataFrame, lags: int = 3, interval: str = "1h") -> DataFrame:
-    """Lagged closes, the log return, the indicators, the hour, and the next close as label."""
+    """Lagged closes, the log return, the indicators, the hour, and the next close as label, from one pass over the bars.
+
+    Bars without a close are left out before.
+    """
+    lagged = [f"close_lag_{i}" for i in range(1, lags + 1)]
+
     def step(w) -> dict[str, F.Column]:
-        lagged = {f"close_lag_{i}": F.lag("close", i).over(w) for i in range(1, lags + 1)}
-        return lagged | {"log_return": log_return(F.lag("close").over(w)), "label": F.lead("close").over(w)}
+        found = {c: F.lag("close", i).over(w) for i, c in enumerate(lagged, 1)}
+        return found | {"log_return": log_return(F.lag("close").over(w)), "label": F.lead("close").over(w)}
 
-    base = windowed(numbered(bars, block(interval)), step, before=max(lags, 1), after=1).withColumn("hour", F.hour("timestamp"))
-    return with_indicators(base.select("symbol", "timestamp", "close", "log_return", *[f"close_lag_{i}" for i in range(1, lags + 1)], "hour", "label"), interval)
+    rows = with_indicators(bars.select("symbol", "timestamp", "close"), interval, step, before=max(lags, 1), after=1).withColumn("hour", F.hour("timestamp"))
+    return rows.select("symbol", "timestamp", "close", "log_return", *lagged, "hour", "label", *INDICATOR_COLUMNS)
 
 
 def inputs(lags: int = 3) -> list[str]:

@@ -78,13 +78,18 @@ def rsi(bars: DataFrame, n: int = 14, interval: str = "1h") -> DataFrame:
     return both.withColumn(f"rsi_{n}", _rsi(n)).select(*bars.columns, f"rsi_{n}")
 
 
-def with_indicators(bars: DataFrame, interval: str = "1h") -> DataFrame:
-    """bars with all indicator columns, from one scan of five averages. Bars without a close are left out."""
+def with_indicators(bars: DataFrame, interval: str = "1h", *steps, before: int = 0, after: int = 0) -> DataFrame:
+    """bars with all indicator columns, from one scan of five averages. Bars without a close are left out.
+
+    steps give further columns from the same windows, as in functions.halo.windowed.
+    """
     averages = {"ema_12": ("close", 2 / 13), "_slow": ("close", 2 / 27), "_signal": ("close", 2 / 10), "_gain": ("_up", 1 / 14), "_loss": ("_down", 1 / 14)}
-    moved = windowed(numbered(bars.filter("close is not null"), block(interval)), _moves, _bands(20, 2.0), before=19)
-    out = ewm(moved, averages, F.col("_chunk"))
+    rows = numbered(bars.filter("close is not null"), block(interval))
+    moved = windowed(rows, *steps, _moves, _bands(20, 2.0), before=max(19, before), after=after)
     line, smooth = F.col("ema_12") - F.col("_slow"), _signal("ema_12", 12, 9) - _signal("_slow", 26, 9)
-    return out.withColumns({"rsi_14": _rsi(14), "macd": line, "macd_signal": smooth}).select(*bars.columns, *INDICATOR_COLUMNS)
+    own = {"_up", "_down", "_row", "_rn", "_chunk", *INDICATOR_COLUMNS}
+    out = ewm(moved, averages, F.col("_chunk")).withColumns({"rsi_14": _rsi(14), "macd": line, "macd_signal": smooth})
+    return out.select(*[c for c in moved.columns if c not in own], *INDICATOR_COLUMNS)
 
 
 def indicators(bars: DataFrame, interval: str = "1h") -> DataFrame:
