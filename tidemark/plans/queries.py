@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import anomalies as an
 from tidemark.operators import bars as b
-from tidemark.operators import drift, forecast, lookups, quality
+from tidemark.operators import drift, forecast, lookups, quality, sketches
 from tidemark.operators import indicators as ind
 from tidemark.schemas import INDICATORS, INTERVALS, OHLCV, TRADES
 from tidemark.sources import readers, writers
@@ -372,6 +373,16 @@ def drift_report(spark, d):
     return rounded(drift.drift_report(*halves(spark, d), ["price", "quantity"]))
 
 
+@register(f"{HALVES} SELECT \"column\", 'psi' AS statistic, 0.2e0 AS threshold, psi >= 0.2 AS drifted FROM ({PSI}) UNION ALL SELECT \"column\", 'ks', 0.1e0, ks >= 0.1 FROM ({KS})")
+def drift_from_sketches(spark, d):
+    """The flags of the drift report from a stored table of daily sketches."""
+    path = st.scratch(spark)
+    writers.upsert(sketches.daily_sketches(trades(spark, d), ["price", "quantity"]), path, ["date", "column"], time="date")
+    days, cut = spark.read.parquet(path), dt.date(2024, 1, 16)
+    found = sketches.drift_between(sketches.period(days, dt.date.min, cut), sketches.period(days, cut, dt.date.max))
+    return found.drop("value")
+
+
 # ---- lookups
 
 
