@@ -33,7 +33,8 @@ def daily_sketches(df: DataFrame, cols: list[str], time: str = "timestamp", k: i
 
 def period(sketches: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """column, sketch of the days from start to before end."""
-    days = sketches.filter((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end)))
+    first, last = (F.lit(d.isoformat()).cast("date") for d in (start, end))
+    days = sketches.filter((F.col("date") >= first) & (F.col("date") < last))
     return days.groupBy("column").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
 
 
