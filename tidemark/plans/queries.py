@@ -14,7 +14,7 @@ from tidemark.operators import drift, forecast, lookups, quality, sketches
 from tidemark.operators import indicators as ind
 from tidemark.schemas import INDICATORS, INTERVALS, OHLCV, TRADES
 from tidemark.sources import readers, writers
-from tidemark.streaming import ingest
+from tidemark.streaming import ingest, late
 from tidemark.streaming import operators as st
 
 QUERIES: dict = {}
@@ -408,6 +408,39 @@ def dedupe_stream(spark, d):
     return ntz(st.drain(st.dedupe_stream(repeated(st.trade_stream(spark, d))), st.scratch(spark)))
 
 
+@register(f"""WITH {T}, rep AS (SELECT symbol, price, quantity, "timestamp", CASE WHEN trade_id % 17 <> 0 THEN trade_id END AS trade_id, is_buyer_maker FROM trades
+ UNION ALL SELECT symbol, price, quantity, "timestamp" + INTERVAL 1 SECOND, CASE WHEN trade_id % 17 <> 0 THEN trade_id END, is_buyer_maker FROM trades WHERE trade_id % 10 = 0)
+SELECT * FROM rep WHERE trade_id IS NULL OR "timestamp" < (SELECT max("timestamp") FROM rep) - INTERVAL 10 MINUTE QUALIFY trade_id IS NULL OR row_number() OVER (PARTITION BY symbol, trade_id ORDER BY "timestamp") = 1""")
+def dedupe_earliest(spark, d):
+    """The earliest of repeated trades out of a stream; rows within the delay of the newest are still held."""
+    return ntz(st.drain(late.earliest_trades(repeated(st.plain_trade_stream(spark, d))), st.scratch(spark)))
+
+
+#: trades of the first half of the month that come after it: some within a day, some later; and all of the second half
+LATER = """("timestamp" >= TIMESTAMP '2024-01-16' OR (trade_id % 10 = 8 AND "timestamp" >= TIMESTAMP '2024-01-15 06:00:00') OR (trade_id % 10 = 9 AND "timestamp" < TIMESTAMP '2024-01-14 12:00:00'))"""
+LATE_SQL = f"""WITH {T}, fed AS (SELECT *, {LATER} AS b, time_bucket(INTERVAL 1 HOUR, "timestamp") AS start FROM trades),
+w AS (SELECT max("timestamp") FILTER (NOT b) - INTERVAL 10 MINUTE AS a, max("timestamp") - INTERVAL 10 MINUTE AS z FROM fed),
+m AS (SELECT fed.*, w.*, start + INTERVAL 1 HOUR AS e, b AND start + INTERVAL 25 HOUR <= a AS late FROM fed, w)
+SELECT 'bar' AS kind, symbol, start AS "timestamp", round(arg_min(price, row("timestamp", trade_id)), 6) + 0.0 AS open, round(max(price), 6) + 0.0 AS high, round(min(price), 6) + 0.0 AS low,
+ round(arg_max(price, row("timestamp", trade_id)), 6) + 0.0 AS close, round(sum(quantity), 6) + 0.0 AS volume, CASE WHEN bool_or(b) AND bool_or(NOT b) AND any_value(e) <= any_value(a) AND any_value(e) + INTERVAL 1 DAY <= any_value(z) THEN 2 ELSE 1 END AS version,
+ CAST(NULL AS BIGINT) AS trade_id FROM m WHERE NOT late AND e <= z GROUP BY symbol, start
+UNION ALL SELECT 'late', symbol, "timestamp", NULL, NULL, NULL, round(price, 6) + 0.0, round(quantity, 6) + 0.0, NULL, trade_id FROM m WHERE late"""
+
+
+@register(LATE_SQL)
+def late_bars(spark, d):
+    """Bars in their last version, and trades that came too late: some trades come after the first half of the month."""
+    folder = st.scratch(spark)
+    fed = trades(spark, d).withColumn("later", F.expr(LATER.replace('"', "`").replace("TIMESTAMP ", "TIMESTAMP_NTZ ")))
+    schema = TRADES.schema
+    for later in (False, True):
+        fed.filter(F.col("later") == later).drop("later").write.mode("append").parquet(f"{folder}/in")
+        rows = st.drain(late.corrected_bars(spark.readStream.schema(schema).parquet(f"{folder}/in")), folder)
+    bars = late.last_versions(rows).select(F.lit("bar").alias("kind"), "symbol", "timestamp", *BAR, "version")
+    aside = late.late_trades(rows).select(F.lit("late").alias("kind"), "symbol", "timestamp", F.col("price").alias("close"), F.col("quantity").alias("volume"), "trade_id")
+    return rounded(ntz(bars.unionByName(aside, allowMissingColumns=True)))
+
+
 CLOSED_BARS = f"""WITH {T}, {bars_sql('1h', 'allbars')}, {CLOSED}"""
 
 

@@ -27,9 +27,12 @@ def with_event_time(df: DataFrame, delay: str = DELAY, time: str = "timestamp")
 
 
 def dedupe_stream(trades: DataFrame) -> DataFrame:
-    """One row for each (symbol, trade_id) within the watermark; rows without a trade_id all pass."""
-    known = trades.filter("trade_id is not null").dropDuplicatesWithinWatermark(["symbol", "trade_id"])
-    return known.unionByName(trades.filter("trade_id is null"))
+    """One row for each (symbol, trade_id) within the watermark; rows without a trade_id all pass.
+
+    The source is read once: a row without an id has one of its own in the key, until the watermark has passed it.
+    """
+    own = F.when(F.col("trade_id").isNull(), F.expr("uuid()"))
+    return trades.withColumn("_own", own).dropDuplicatesWithinWatermark(["symbol", "trade_id", "_own"]).drop("_own")
 
 
 def ohlcv_stream(trades: DataFrame, interval: str = "1h") -> DataFrame:
@@ -130,11 +133,15 @@ def drain(stream: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def plain_trade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream of trades, without a watermark."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return events_as_trades(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
 def trade_stream(spark: SparkSession, sf_dir: str, delay: str = DELAY) -> DataFrame:
     """The event table as a stream of trades with event time."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return with_event_time(events_as_trades(events), delay)
+    return with_event_time(plain_trade_stream(spark, sf_dir), delay)
 
 
 def run_pipeline(source: DataFrame, folder: str, interval: str = "1h", servers: str | None = None, delay: str = DELAY) -> None:
