@@ -14,19 +14,20 @@ from tidemark.operators.indicators import with_indicators
 from tidemark.schemas import INDICATOR_COLUMNS, INTERVALS
 
 
-def features(bars: DataFrame, lags: int = 3, interval: str = "1h") -> DataFrame:
+def features(bars: DataFrame, lags: int = 3, interval: str = "1h", label_time: bool = False) -> DataFrame:
     """Lagged closes, the log return, the indicators, the hour, and the next close as label, from one pass over the bars.
 
-    Bars without a close are left out before.
+    Bars without a close are left out before. label_time adds label_at, the end of the bar that the label is of.
     """
     lagged = [f"close_lag_{i}" for i in range(1, lags + 1)]
 
     def step(w) -> dict[str, F.Column]:
         found = {c: F.lag("close", i).over(w) for i, c in enumerate(lagged, 1)}
-        return found | {"log_return": log_return(F.lag("close").over(w)), "label": F.lead("close").over(w)}
+        at = {"label_at": F.lead("timestamp").over(w) + F.expr(f"INTERVAL {INTERVALS[interval]}")} if label_time else {}
+        return found | {"log_return": log_return(F.lag("close").over(w)), "label": F.lead("close").over(w)} | at
 
     rows = with_indicators(bars.select("symbol", "timestamp", "close"), interval, step, before=max(lags, 1), after=1).withColumn("hour", F.hour("timestamp"))
-    return rows.select("symbol", "timestamp", "close", "log_return", *lagged, "hour", "label", *INDICATOR_COLUMNS)
+    return rows.select("symbol", "timestamp", "close", "log_return", *lagged, "hour", "label", *(["label_at"] if label_time else []), *INDICATOR_COLUMNS)
 
 
 def inputs(lags: int = 3) -> list[str]:
@@ -46,6 +47,15 @@ def fit(rows: DataFrame, kind: str = "linear", lags: int = 3, seed: int = 7) ->
     return Pipeline(stages=[VectorAssembler(inputCols=inputs(lags), outputCol="features", handleInvalid="skip"), learner]).fit(rows.filter("label is not null"))
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """Keep a fitted model; a repeated call replaces it."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def predict(model: PipelineModel, rows: DataFrame, name: str, interval: str = "1h") -> DataFrame:
     step = F.expr(f"INTERVAL {INTERVALS[interval]}")
     out = model.transform(rows)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import anomalies as an
 from tidemark.operators import bars as b
-from tidemark.operators import drift, forecast, lookups, quality, sketches
+from tidemark.operators import drift, forecast, lookups, quality, sketches, walk_forward
 from tidemark.operators import indicators as ind
 from tidemark.schemas import INDICATORS, INTERVALS, OHLCV, TRADES
 from tidemark.sources import readers, writers
@@ -332,6 +332,35 @@ def latest_prediction(spark, d):
     return rounded(lookups.latest(forecast.naive(hourly(spark, d)).drop("label"), "predicted_at"))
 
 
+FORWARD = f"""{WITH_H}, ft AS (SELECT symbol, "timestamp", close, lead(close) OVER ({W}) AS label, CAST(lead("timestamp") OVER ({W}) + INTERVAL 1 HOUR AS DATE) AS known FROM bars),
+kn AS (SELECT * FROM ft WHERE label IS NOT NULL),
+days AS (SELECT DISTINCT symbol, CAST("timestamp" AS DATE) AS day FROM ft),
+md AS (SELECT days.symbol, day, count(*) AS n, avg(label) - coalesce(covar_pop(label, kn.close) / nullif(var_pop(kn.close), 0), 0) * avg(kn.close) AS b, coalesce(covar_pop(label, kn.close) / nullif(var_pop(kn.close), 0), 0) AS a
+ FROM days JOIN kn ON kn.symbol = days.symbol AND known < day GROUP BY days.symbol, day HAVING count(*) >= 20)"""
+
+
+@register(f"""{FORWARD}, pr AS (SELECT ft.symbol, b + a * ft.close AS p, label FROM ft JOIN md ON md.symbol = ft.symbol AND md.day = CAST("timestamp" AS DATE) WHERE label IS NOT NULL)
+SELECT symbol, 'walk_forward' AS model, round(sqrt(avg((p - label) ** 2)), 6) + 0.0 AS rmse, round(avg(abs(p - label)), 6) + 0.0 AS mae, round(avg(abs((p - label) / nullif(label, 0))), 6) + 0.0 AS mape, count(*) AS n FROM pr GROUP BY symbol""")
+def walk_forward_eval(spark, d):
+    """A model for each symbol and day, fitted on what was known before it, and the errors of its predictions."""
+    rows = forecast.features(hourly(spark, d), label_time=True).select("symbol", "timestamp", "close", "label", "label_at")
+    return rounded(forecast.evaluate(walk_forward.walk_forward(rows, ["close"], least_rows=20)))
+
+
+@register(f"""{FORWARD}, lm AS (SELECT * FROM md QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) = 1)
+SELECT ft.symbol, "timestamp" + INTERVAL 1 HOUR AS predicted_at, "timestamp" + INTERVAL 1 HOUR AS target_time, round(b + a * ft.close, 6) + 0.0 AS prediction, 'stored' AS model FROM ft JOIN lm ON lm.symbol = ft.symbol QUALIFY row_number() OVER (PARTITION BY ft.symbol ORDER BY "timestamp" DESC) = 1""")
+def latest_model_prediction(spark, d):
+    """The last bar's prediction by the newest model of each symbol, from a stored table of models."""
+    path = st.scratch(spark)
+    rows = forecast.features(hourly(spark, d), label_time=True).select("symbol", "timestamp", "close", "label", "label_at")
+    days = rows.select("symbol", F.to_date("timestamp").alias("day")).distinct()
+    fitted = walk_forward.models(walk_forward.moments(rows, ["close"]), days, 1, least_rows=20)
+    writers.upsert(fitted, path, ["symbol", "day"], time="day")
+    newest = lookups.latest(spark.read.parquet(path).drop("date"), "day").withColumn("day", F.lit("2024-01-01").cast("date"))
+    last = lookups.latest(rows.select("symbol", "timestamp", "close"))
+    return rounded(walk_forward.predicted(last, newest, ["close"], name="stored", day="2024-01-01"))
+
+
 # ---- drift
 
 HALVES = f"""WITH {T}, h AS (SELECT *, "timestamp" >= TIMESTAMP '2024-01-16' AS cur FROM trades)"""
