@@ -51,11 +51,20 @@ def hourly_sums(trades: DataFrame) -> DataFrame:
     return _bars(trades, "1h", F.count(F.lit(1)).alias("trades"), F.sum(F.col("price") * F.col("quantity")).alias("paid"), taker.alias("taken"))
 
 
+def rollup_sums(sums: DataFrame, interval: str = "1h") -> DataFrame:
+    """Bars with the sums of hourly_sums(), from shorter ones."""
+    more = [F.sum(c).alias(c) for c in ("trades", "paid", "taken")]
+    wide = sums.groupBy("symbol", F.window("timestamp", INTERVALS[interval]).alias("w")).agg(
+        F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"), F.sum("volume").alias("volume"), *more,
+    )
+    return wide.withColumn("timestamp", F.col("w.start")).drop("w")
+
+
 def daily_from_hours(hours: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """Daily metrics of hourly_sums(). before: symbol and close of the last bar before these hours, where there is one.
+    """Daily metrics of hourly_sums(), of all days or, with before, of the days that it lists.
 
-    A day's at most 24 closes are gathered; only the day's first return needs a close of the day before, which is one
-    row a day.
+    before: symbol, date and _last, the close of the symbol's last bar before that date or null. A day's at most 24 closes
+    are gathered; only the day's first return needs a close of the day before, which is one row a day.
     """
     total = F.nullif(F.sum("volume"), F.lit(0.0))
     days = hours.groupBy("symbol", F.to_date("timestamp").alias("date")).agg(
@@ -66,7 +75,7 @@ def daily_from_hours(hours: DataFrame, before: DataFrame | None = None) -> DataF
     if before is None:
         days = days.withColumn("_last", last)
     else:
-        days = days.join(before.select("symbol", F.col("close").alias("_known")), "symbol", "left").withColumn("_last", F.coalesce(last, "_known")).drop("_known")
+        days = days.join(before.select("symbol", "date", "_last"), ["symbol", "date"])
     closes = F.col("_hours.close")
     pairs = F.arrays_zip(closes.alias("x"), F.concat(F.array("_last"), F.slice(closes, 1, F.size(closes) - 1)).alias("y"))
     moves = F.array_compact(F.transform(pairs, lambda p: F.when((p["x"] > 0) & (p["y"] > 0), F.log(p["x"] / p["y"]))))

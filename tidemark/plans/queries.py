@@ -14,7 +14,7 @@ from tidemark.operators import drift, forecast, lookups, quality, sketches, walk
 from tidemark.operators import indicators as ind
 from tidemark.schemas import INDICATORS, INTERVALS, OHLCV, TRADES
 from tidemark.sources import readers, writers
-from tidemark.streaming import ingest, late
+from tidemark.streaming import daily, ingest, late
 from tidemark.streaming import operators as st
 
 QUERIES: dict = {}
@@ -500,6 +500,21 @@ def market_pipeline(spark, d):
     return rounded(ntz(both))
 
 
+CLOSED_TRADES = """ct AS (SELECT * FROM trades WHERE time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM trades) - INTERVAL 10 MINUTE)"""
+
+
+@register(DAILY.replace(WITH_H, f"WITH {T}, {CLOSED_TRADES}, {bars_sql('1h', src='ct')}").replace("FROM trades GROUP BY ALL)", "FROM ct GROUP BY ALL)"))
+def daily_metrics_stream(spark, d):
+    """Daily metrics that the stream pipeline keeps, after two batches of which the second changes days of the first."""
+    folder = st.scratch(spark)
+    hours = b.hourly_sums(trades(spark, d)).drop("interval")
+    last = trades(spark, d).agg(F.max("timestamp")).first()[0]
+    closed = hours.filter(F.col("timestamp") + F.expr("INTERVAL 70 MINUTES") <= F.lit(last))
+    for odd in (0, 1):
+        daily.refresh_daily(closed.filter(F.pmod(F.hour("timestamp"), F.lit(2)) == odd), folder)
+    return rounded(spark.read.parquet(f"{folder}/daily_metrics").select("symbol", "date", *BAR, "trades", "vwap", "taker_buy_share", "volatility", "return"))
+
+
 @register(f"""WITH {T}, m AS (SELECT *, CASE WHEN trade_id % 17 = 0 THEN 'malformed' ELSE concat_ws('; ', CASE WHEN trade_id % 11 = 0 THEN 'symbol: missing' END,
  CASE WHEN trade_id % 7 = 0 THEN 'price: missing' WHEN trade_id % 13 = 0 THEN 'price: type' END) END AS reasons FROM trades)
 SELECT CASE WHEN reasons = '' THEN 'raw_trades' ELSE 'rejects' END AS "table", trade_id, CASE WHEN reasons = '' THEN symbol END AS symbol, CASE WHEN reasons = '' THEN price END AS price,
@@ -522,5 +537,5 @@ def market_pipeline_alerts(spark, d):
     """The alerts that the whole stream pipeline publishes, decoded from their messages."""
     folder = st.scratch(spark)
     st.run_pipeline(st.trade_stream(spark, d), folder)
-    sent = spark.read.schema("key string, value string").json(f"{folder}/topics/anomalies")
+    sent = readers.first_sent(spark.read.schema("key string, value string, batch bigint, number bigint").json(f"{folder}/topics/anomalies"))
     return rounded(ntz(sent.select(F.from_json("value", st.Alerts.schema).alias("v")).select("v.*")))

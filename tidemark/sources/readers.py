@@ -40,6 +40,11 @@ def read_messages(values: DataFrame, table: Table, column: str = "value") -> tup
     return both.filter("_corrupt is null").drop("_corrupt"), both.filter("_corrupt is not null").select("_corrupt")
 
 
+def first_sent(messages: DataFrame) -> DataFrame:
+    """key, value, batch, number of messages in sequence, each once however often it was sent."""
+    return messages.dropDuplicates(["key", "batch", "number"])
+
+
 def read_topic(spark: SparkSession, servers: str, topic: str, table: Table, stream: bool = True) -> DataFrame:
     """A topic's messages; needs Spark's Kafka connector on the class path."""
     reader = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)

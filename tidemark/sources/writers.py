@@ -34,8 +34,23 @@ def to_alerts(df: DataFrame) -> DataFrame:
     return to_messages(df.repartition(1).sortWithinPartitions("detected_at", "symbol", "kind"))
 
 
+def in_sequence(messages: DataFrame, batch: int) -> DataFrame:
+    """messages with batch and number: within a key they rise in the order of the values, which begin with key and time.
+
+    The same batch gives the same numbers, so a consumer knows what is sent again after a failure.
+    """
+    order = W.partitionBy("key").orderBy("value")  # of one batch
+    return messages.withColumns({"batch": F.lit(batch).cast("bigint"), "number": F.row_number().over(order).cast("bigint")})
+
+
 def publish_topic(messages: DataFrame, servers: str, topic: str) -> None:
-    """Send messages to a broker's topic; a repeated call sends them again. Needs Spark's Kafka connector."""
+    """Send messages to a broker's topic; a repeated call sends them again. Needs Spark's Kafka connector.
+
+    batch and number of in_sequence() go as headers.
+    """
+    if {"batch", "number"} <= set(messages.columns):
+        header = lambda c: F.struct(F.lit(c).alias("key"), F.col(c).cast("string").cast("binary").alias("value"))
+        messages = messages.select("key", "value", F.array(header("batch"), header("number")).alias("headers"))
     messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
@@ -65,6 +80,11 @@ def publish_table(df: DataFrame, path: str, batch: int) -> None:
         raise OSError(f"{staged} could not be moved to {there}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     fs, where = _file_system(spark, path)
     fs.mkdirs(where)

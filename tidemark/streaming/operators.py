@@ -15,10 +15,12 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from tidemark.schemas import INTERVALS, TRADES
 from tidemark.sources.readers import events_as_trades
-from tidemark.sources.writers import publish_folder, publish_topic, to_alerts, to_processed, upsert
+from tidemark.sources.writers import in_sequence, publish_folder, publish_topic, to_alerts, to_processed, upsert
+from tidemark.streaming.daily import refresh_daily
 from tidemark.streaming.ingest import ingest, ingested, state_store
 
 DELAY = "10 minutes"
+SUMS = ["trades", "paid", "taken"]
 
 
 def with_event_time(df: DataFrame, delay: str = DELAY, time: str = "timestamp") -> DataFrame:
@@ -35,13 +37,15 @@ def dedupe_stream(trades: DataFrame) -> DataFrame:
     return trades.withColumn("_own", own).dropDuplicatesWithinWatermark(["symbol", "trade_id", "_own"]).drop("_own")
 
 
-def ohlcv_stream(trades: DataFrame, interval: str = "1h") -> DataFrame:
-    """Bars of closed windows; `end` carries the event time on."""
+def ohlcv_stream(trades: DataFrame, interval: str = "1h", sums: bool = False) -> DataFrame:
+    """Bars of closed windows; `end` carries the event time on. sums adds what daily metrics add up."""
     order = F.struct("timestamp", "trade_id")
+    taken = F.sum(F.when(~F.col("is_buyer_maker"), F.col("quantity")).otherwise(0.0))
+    more = [F.count(F.lit(1)).alias("trades"), F.sum(F.col("price") * F.col("quantity")).alias("paid"), taken.alias("taken")] if sums else []
     bars = trades.groupBy("symbol", F.window("timestamp", INTERVALS[interval]).alias("w")).agg(
-        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume"),
+        F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").alias("volume"), *more,
     )
-    return bars.select("symbol", F.lit(interval).alias("interval"), F.col("w.start").alias("timestamp"), "open", "high", "low", "close", "volume", F.window_time("w").alias("end"))
+    return bars.select("symbol", F.lit(interval).alias("interval"), F.col("w.start").alias("timestamp"), "open", "high", "low", "close", "volume", *(SUMS if sums else []), F.window_time("w").alias("end"))
 
 
 class Indicators(StatefulProcessor):
@@ -149,15 +153,16 @@ def run_pipeline(source: DataFrame, folder: str, interval: str = "1h", servers:
 
     source: a stream of messages with a column `value`, or of trades. Its valid rows go to folder/raw_trades and all
     others, with their reasons, to folder/rejects. The bars of closed windows are built once from the valid rows,
-    appended to folder/bars, and read from there as a stream by the queries of the tables ohlcv, indicators and
-    anomalies. Each query has its own checkpoint, so a stopped run resumes where it was; a batch that is repeated after a
+    appended to folder/bars, and read from there as a stream by the queries of the tables ohlcv, indicators, anomalies and
+    daily_metrics; of the last only the days that a batch changes are made anew. Each query has its own checkpoint, so a stopped run resumes where it was; a batch that is repeated after a
     failure changes nothing, because it is kept once by its number or merged by the table's keys. Indicators go to the
     topic processed_data and alerts to the topic anomalies: of the broker at servers, at least once, or else to
-    folder/topics, where a repeated batch replaces its own lines.
+    folder/topics, where a repeated batch replaces its own lines. Each message carries its batch and number, by which a
+    consumer knows a repeat.
     """
     spark = source.sparkSession
     ingest(source, folder, TRADES)
-    built = ohlcv_stream(dedupe_stream(with_event_time(ingested(spark, folder, TRADES, stream=True), delay)), interval)
+    built = ohlcv_stream(dedupe_stream(with_event_time(ingested(spark, folder, TRADES, stream=True), delay)), interval, sums=True)
 
     def start(writer: DataStreamWriter, name: str) -> StreamingQuery:
         return writer.option("checkpointLocation", f"{folder}/checkpoint-{name}").trigger(availableNow=True).start()
@@ -167,7 +172,7 @@ def run_pipeline(source: DataFrame, folder: str, interval: str = "1h", servers:
         bars = spark.readStream.schema(built.schema).parquet(f"{folder}/bars")
         keys, parts = ["symbol", "interval", "timestamp"], ["interval", "date"]
         tables = {
-            "ohlcv": (bars.drop("end"), keys, "timestamp", parts, None, None),
+            "ohlcv": (bars.drop("end", *SUMS), keys, "timestamp", parts, None, None),
             "indicators": (indicators_stream(bars).withColumn("interval", F.lit(interval)), keys, "timestamp", parts, "processed_data", lambda df: to_processed(df, "indicators")),
             "anomalies": (alerts_stream(bars, interval=interval), ["symbol", "kind", "detected_at"], "detected_at", ["date"], "anomalies", to_alerts),
         }
@@ -177,13 +182,14 @@ def run_pipeline(source: DataFrame, folder: str, interval: str = "1h", servers:
                 batch = batch.persist()  # used more than once; a second computation would run the state again
                 upsert(batch, f"{folder}/{name}", keys, time, parts)
                 if topic and servers:
-                    publish_topic(messages(batch), servers, topic)
+                    publish_topic(in_sequence(messages(batch), number), servers, topic)
                 elif topic:
-                    publish_folder(messages(batch), f"{folder}/topics", topic, number)
+                    publish_folder(in_sequence(messages(batch), number), f"{folder}/topics", topic, number)
                 batch.unpersist()
 
             return merge
 
         running = [start(df.writeStream.foreachBatch(sink(name, *rest)), name) for name, (df, *rest) in tables.items()]
+        running.append(start(bars.writeStream.foreachBatch(lambda batch, _: refresh_daily(batch.drop("end", "interval"), folder)), "daily_metrics"))
         for q in running:
             q.awaitTermination()
