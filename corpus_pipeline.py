@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, line_dedup, mixing, packing, simhash
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import cleared, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage; each stage's result is written as Parquet and read again by the next one.
 
-    The stages' tables stay in the folder that spark.checkpoint.dir names. A null or empty text is rejected by the
+    The stages' tables stay in the folder that spark.checkpoint.dir names; all others that stages write on their way are
+    deleted when the stage's table is written. A null or empty text is rejected by the
     first stage where any language is known; an empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with cleared(spark) as kept:
+            docs = stored(stage(spark, docs, sf_dir))
+            kept.append(docs)
     return docs

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import html_text, language, license_scan, line_dedup, mixing, packing, simhash, toxicity
+from tidemark.llm import common, html_text, language, license_scan, line_dedup, mixing, packing, simhash, toxicity
 from tidemark.sources import writers
 
 DATA = "/root/testdata/sf0.001"
@@ -119,8 +120,11 @@ def test_pipeline(spark, monkeypatch):
         return name, call
 
     monkeypatch.setattr(corpus_pipeline, "STAGES", [noted(*s) for s in corpus_pipeline.STAGES])
+    before = set(os.listdir(common.shared_dir(spark).removeprefix("file:")))
     packed = corpus_pipeline.run(spark, DATA)
+    left = set(os.listdir(common.shared_dir(spark).removeprefix("file:"))) - before
     names = list(seen)
+    assert len([f for f in left if f.startswith("stored-")]) == len(names)  # the stages' tables and no others
     assert names == ["language_id", "line_dedup", "simhash_near_dedup", "mixing", "best_fit_packing"]
     for df in [*[seen[n] for n in names[1:]], packed]:
         assert df.inputFiles() and all("/stored-" in f for f in df.inputFiles())

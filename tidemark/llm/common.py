@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,19 +49,51 @@ def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: used several times, computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     with tidy(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: the folders that stored() has written within cleared()
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {folder for f in df.inputFiles() if "/stored-" in (folder := f.rpartition("/")[0])}
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of tables that stored() wrote and that nothing needs any more."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/stored-" in folder:
-                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in _folders(df):
+            _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """The files of all tables that stored() writes within are deleted at the end, but for tables put into the list.
+
+    For work whose result is stored within, too: what is left to compute after the end would miss the files.
+    """
+    outer, written, kept = _WRITTEN.get(), [], []
+    token = _WRITTEN.set(written)
+    try:
+        yield kept
+    finally:
+        _WRITTEN.reset(token)
+        names = {folder.rpartition("/")[2] for df in kept for folder in _folders(df)}
+        for path in written:
+            if path.rpartition("/")[2] not in names:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import string
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,11 @@ TARGETS = {"good": 0.90, "poor": 0.08, "good_toxic": 0.01, "poor_toxic": 0.01}
 TRAINING_ROWS = 8_000
 FEATURES = 1_500
 LEAST_DOCS = 5
-STEPS = 40
+STEPS = 60
+#: after so many steps that do not halve the miss, the targets are taken as out of reach
+STALLED = 6
+#: the columns that are added
+ADDED = ["_tokens", "_chances", "_rate", "_copies"]
 TOLERANCE = 1e-6
 ASCII = bytes(range(128))
 CAPITALS, LETTERS = (x.encode() for x in (string.ascii_uppercase, string.ascii_letters))
@@ -122,7 +127,10 @@ def fit_domains(training: DataFrame, most: int = FEATURES, steps: int = 300, rat
 
 
 def with_chances(docs: DataFrame, model: Domains) -> DataFrame:
-    """docs with _tokens (words between white space) and _chances, one for each domain of the model."""
+    """docs with _tokens (words between white space) and _chances, one for each domain of the model.
+
+    Columns of docs that have these names are replaced.
+    """
 
     @F.arrow_udf("tokens bigint, chances array<double>")
     def run(texts: pa.Array) -> pa.Array:
@@ -135,8 +143,9 @@ def with_chances(docs: DataFrame, model: Domains) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array((np.arange(len(tokens) + 1) * len(model.names)).astype(np.int32)), flat)
         return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), lists], ["tokens", "chances"])
 
-    scored = docs.withColumn("_x", run("text"))
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_x.tokens").alias("_tokens"), F.col("_x.chances").alias("_chances"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
+    scored = docs.select(F.struct(*kept).alias("row"), run("text").alias("x"))
+    return scored.select("row.*", F.col("x.tokens").alias("_tokens"), F.col("x.chances").alias("_chances"))
 
 
 def rates(a: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -147,11 +156,70 @@ def rates(a: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(chances: DataFrame, names: list[str], targets: dict[str, float] = TARGETS, most_steps: int = STEPS, tolerance: float = TOLERANCE) -> list[np.ndarray]:
+def nonnegative(g: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """x >= 0 with the least |g x - t|, by active sets; g has a row a domain and few columns."""
+    x, free = np.zeros(g.shape[1]), np.zeros(g.shape[1], bool)
+    for _ in range(10 * (g.shape[1] + 1)):
+        slope = np.where(free, -np.inf, g.T @ (t - g @ x))
+        if not slope.size or slope.max() <= 1e-12 * max(np.abs(t).max(initial=0), 1e-300):
+            break
+        free[slope.argmax()] = True
+        while True:
+            y = np.zeros(len(x))
+            y[free] = np.linalg.lstsq(g[:, free], t, rcond=None)[0]
+            if (y[free] > 0).all():
+                x = y
+                break
+            falls = free & (y <= 0)
+            step = (x[falls] / np.maximum(x[falls] - y[falls], 1e-300)).min()
+            x = x + step * (y - x)
+            free &= x > 1e-15 * max(x.max(), 1e-300)
+            x[~free] = 0
+            if not free.any():
+                break
+    return x
+
+
+def nearest(chances: DataFrame, target: np.ndarray, most: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+    """The tokens by domain nearest to the target that any rates r >= 0 can give.
+
+    These are the sums of documents' chances with weights >= 0. The document that points most towards what is missing is
+    sought among all, and joins the few that the nearest point is made of, until none points there: then there is no
+    nearer point.
+    """
+    k = len(target)
+    found, at = np.zeros((k, 0)), np.zeros(k)
+    for _ in range(most):
+        missing = target - at
+        if np.linalg.norm(missing) <= tolerance * np.linalg.norm(target):
+            break
+        towards = sum((F.get("_chances", F.lit(i)) * float(x) for i, x in enumerate(missing / np.linalg.norm(missing))), F.lit(0.0))
+        with tidy(chances.sparkSession):
+            best = chances.filter("_tokens > 0").agg(F.max_by("_chances", towards).alias("p"), F.max(towards).alias("x")).first()
+        if best.p is None or best.x <= tolerance:
+            break
+        found = np.column_stack([found, np.array(best.p)])
+        weights = nonnegative(found, target)
+        found, weights = found[:, weights > 0], weights[weights > 0]
+        at = found @ weights
+    return at
+
+
+class Rates(list):
+    """The step vectors. residual: the largest miss of a domain, as a share of all tokens, from the nearest that can be reached;
+    short: how far that is from the targets."""
+
+    residual = short = 0.0
+
+
+def fit_rates(chances: DataFrame, names: list[str], targets: dict[str, float] = TARGETS, most_steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
     """The step vectors of a projected gradient descent for |A r - T|^2.
 
     The gradient is scaled by (A A^T)^-1 over the documents with a positive rate, which converges in a few steps; where
-    that does not come closer, over all documents, for which a step of 1 is safe.
+    that does not come closer, over all documents, for which a step of 1 is safe. Where the targets are not met, the
+    nearest tokens by domain that any rates can give are sought, and the descent goes on to them. It is at the optimum when
+    A r is within the tolerance of them. On the edge of what can be reached only the few documents there would have a
+    rate, and the descent is slow: after most_steps it ends in any case, `residual` says how far off, and a warning is given.
 
     chances: _tokens, _chances. T has the targets, made to sum to 1, of all tokens. Only sums by domain come back.
     """
@@ -181,42 +249,61 @@ def fit_rates(chances: DataFrame, names: list[str], targets: dict[str, float] =
     def inverse(g: np.ndarray) -> np.ndarray:
         return np.linalg.pinv(g, rcond=1e-12, hermitian=True)
 
-    steps: list[np.ndarray] = []
+    steps = Rates()
     now, whole, up = sums(steps)
-    total = now.sum() * share
-    metric, off = up, np.abs(total - now).max()
+    total = max(now.sum(), 1.0)
+    goal = now.sum() * share
+    metric, off, aimed, slow = up, np.abs(goal - now).max(), False, 0
+    least = (off, 0)  # the least miss of the goal, and after how many steps
     for _ in range(most_steps):
-        if off <= tolerance * max(total.sum(), 1.0):
+        if off > tolerance * total and slow >= STALLED and not aimed:
+            goal, aimed, slow = nearest(chances, goal), True, 0
+            steps.short = float(np.abs(total * share - goal).max() / total)
+            off = np.abs(goal - now).max()
+            least = (off, len(steps))
+        if off <= tolerance * total:
             break
-        steps.append(inverse(metric) @ (total - now))
+        steps.append(inverse(metric) @ (goal - now))
         then, _, up = sums(steps)
-        if np.abs(total - then).max() < off or metric is whole:
-            now, metric, off = then, up, np.abs(total - then).max()
+        miss = np.abs(goal - then).max()
+        slow = slow + 1 if miss > off / 2 else 0
+        if miss < off or metric is whole:
+            now, metric, off = then, up, miss
         else:  # the metric of the positive rates went too far: take the safe step instead
             steps.pop()
             metric = whole
+        least = min(least, (off, len(steps)))
+    del steps[least[1] :]
+    steps.residual = float(least[0] / total)
+    if steps.residual > tolerance or steps.short:
+        warnings.warn(f"targets: {steps.short:.4f} of all tokens from what can be reached, of which {steps.residual:.4f} are left after {len(steps)} steps", stacklevel=2)
     return steps
 
 
 def with_rates(chances: DataFrame, steps: list[np.ndarray]) -> DataFrame:
     """chances with _rate: as rates(), by DataFrame functions."""
-    rate = F.lit(1.0)
-    for g in steps:
-        rate = F.greatest(F.lit(0.0), rate + sum((F.col("_tokens") * F.get("_chances", F.lit(i)) * float(x) for i, x in enumerate(g)), F.lit(0.0)))
-    return chances.withColumn("_rate", rate)
+    if not steps:
+        return chances.withColumn("_rate", F.lit(1.0))
+    vectors = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
+    along = lambda g: F.aggregate(F.zip_with("_chances", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+    return chances.withColumn("_rate", F.aggregate(vectors, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r + F.col("_tokens") * along(g))))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """docs (its columns keep, or all) with _tokens, _chances, _rate and _copies, and the names of the domains.
 
     A null or empty text has no tokens, rate 1 and one copy. Rows that repeat get equal results. Without labels
-    there is one domain and every rate is 1. An empty table gives no rows. Other columns are kept.
+    there is one domain and every rate is 1. An empty table gives no rows. Other columns are kept, but for those that
+    have one of the four names. Targets that no rates can meet are met as nearly as any can.
     """
     model = fit_domains(labelled(docs, labels))
-    scored = with_chances(docs.withColumn("_u", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)), model)
-    base = stored(scored.select(*[F.col(f"`{c}`") for c in keep or docs.columns], "_u", "_tokens", "_chances"))
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns if c not in ADDED])
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    scored = with_chances(docs.select(kept.alias("row"), chance.alias("u"), "text"), model)
+    base = stored(scored.select("row", "u", "_tokens", "_chances"))
     rated = with_rates(base, fit_rates(base, model.names, targets))
-    return rated.withColumn("_copies", F.floor(F.col("_rate") + F.col("_u")).cast("int")).drop("_u"), model.names
+    out = rated.select("row", "_tokens", "_chances", "_rate", F.floor(F.col("_rate") + F.col("u")).cast("int").alias("_copies"))
+    return out.select("row.*", *ADDED), model.names
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
