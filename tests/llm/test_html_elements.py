@@ -1,0 +1,75 @@
+"""Ends of elements in one pass, names that only resemble those of menus and adverts, and time on bad pages."""
+
+import random
+import time
+
+import pytest
+
+from tidemark.llm import html_text as h
+
+PROSE = "A long stretch of prose that has no link at all, and goes on for more than eighty characters in one block of the page."
+
+
+def naive_end(found, i):
+    """The piece behind the end tag of the element that piece i opens, by counting; below 0 without one."""
+    tag, depth = found[i][2], 1
+    for j in range(i + 1, len(found)):
+        if found[j][2] == tag and (found[j][3] or tag not in h.VOID and not found[j][4].endswith("/")):
+            depth += -1 if found[j][3] else 1
+            if not depth:
+                return j + 1
+    containers = [j for j in range(i + 1, len(found)) if found[j][2] in h.CONTAINER and not found[j][3]]
+    return -(containers[0] if containers and tag not in h.CONTAINER else len(found)) - 1
+
+
+def test_ends_in_one_pass_equal_counting():
+    rng = random.Random(4)
+    for _ in range(400):
+        page = "".join(rng.choice(["<nav>", "</nav>", "<div class=x>", "</div>", "<article>", "</article>", "<p>", "</p>", "<br>", "<div/>", "text", "<!-- <nav> -->", "<script>'</nav>'</script>"]) for _ in range(rng.randrange(25)))
+        found = h.tags(page)
+        after = h.ends_of(found)
+        for i, (_, _, tag, ends, attributes) in enumerate(found):
+            if tag and not ends and tag not in h.VOID and tag not in h.RAW and not attributes.endswith("/"):
+                assert after[i] == naive_end(found, i), page
+
+
+@pytest.mark.parametrize("element", ['section class="form-and-function"', 'p id="legal-history"', 'div class="social-history"', 'div class="share-of-wealth"', 'h2 id="comment-on-kant"', 'div class="has-sidebar"'])
+def test_parts_of_the_article_with_names_that_resemble_others(element):
+    page = f"<body><nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>{PROSE}</p><{element}>{PROSE} More.</{element.split()[0]}><p>End.</p></article><footer>{PROSE}</footer></body>"
+    assert h.main_text(page).split("\n") == ["Title", PROSE, f"{PROSE} More.", "End."]
+
+
+@pytest.mark.parametrize("within", [True, False])
+@pytest.mark.parametrize("element", ['div class="user-comments-thread"', 'div id="comments"', "aside", 'div class="ad-slot-3"', 'div class="related-posts"', 'ul class="social-share-buttons"', 'div class="cookie-consent-banner"', 'section class="comment-list"', 'div class="sidebar-widget"', 'div class="newsletter-signup"', "div role=complementary", "div hidden"])
+def test_parts_around_the_text_go_with_all_they_hold(element, within):
+    tag = element.split()[0]
+    other = f"<{element}><p>{PROSE} Other.</p><{tag}><p>{PROSE} Other.</p></{tag}></{tag}>"
+    page = f"<body><article><h1>Title</h1><p>{PROSE}</p>{other if within else ''}<p>End.</p></article>{'' if within else other}</body>"
+    assert h.main_text(page).split("\n") == ["Title", PROSE, "End."]
+
+
+def test_a_doubtful_element_without_a_surge_goes():
+    page = f'<article><p>{PROSE}</p><div class="promo-xyz"><p>Buy now</p><a href=x>{PROSE}</a></div><p>End.</p></article>'
+    assert h.main_text(page).split("\n") == [PROSE, "End."]
+
+
+def test_an_unclosed_element_ends_before_the_article():
+    assert h.main_text(f"<nav><a>x</a><nav></nav> loose <article><p>{PROSE}</p></article>") == PROSE
+
+
+@pytest.mark.parametrize("unit", ["<nav><article>x", "<div class=ad>", "<p class=ad", "<a href='", "<div class=promo-xyz>y", "</nav>", "<!--", "&amp;&lt"])
+def test_time_grows_with_the_page(unit):
+    small, large = "".join([unit] * 2_000), "".join([unit] * 16_000)
+    began = time.process_time()
+    h.main_text(small)
+    middle = time.process_time()
+    h.main_text(large)
+    assert time.process_time() - middle < 24 * max(middle - began, 0.02)
+
+
+def test_empty_and_repeated_pages(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", f"<article>{PROSE}</article>"), (3, "u", f"<article>{PROSE}</article>"), (3, "u", f"<article>{PROSE}</article>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' as text", "1 as n_chars")
+    got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in h.extract(df).collect()))
+    assert got == sorted([(1, "", 0), (2, "", 0), (0, PROSE, len(PROSE)), (3, PROSE, len(PROSE)), (3, PROSE, len(PROSE))])
+    assert h.extract(df.limit(0)).collect() == []
