@@ -6,12 +6,15 @@ the items, cut into `bins` equal ranges, serves as that many independent orders:
 least items, puts them back into text order and hashes the tuple. Two fingerprints agree in a range only if the same
 k-mers were chosen and stand in the same order, which makes the likeness follow the edit distance.
 
-Within a document the work is n log n, on arrays of longs that hold 39 bits of hash and 24 bits of position.
+Within a document the work is n log n, on arrays of longs that hold 33 bits of hash and 30 bits of position: no text that
+fits a row, of 2 GB at most, has more tokens.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,10 +25,10 @@ from tidemark.llm.common import table
 K = 3
 TUPLE = 2
 BINS = 32
-POS_BITS = 24
+POS_BITS = 30
 TOKEN = r"[⺀-鿿가-힣]|[^\s⺀-鿿가-힣]{1,16}"
 ROWS_A_RANGE = 200
-MOST_RANGES = 16_384
+MOST_RANGES = 65_536
 
 
 def _packed(hashed: Column, pos: Column) -> Column:
@@ -92,21 +95,38 @@ def shown(fp: str) -> Column:
     return F.array_join(F.transform(fp, lambda v: F.lpad(F.lower(F.hex(v)), 10, "0")), "")
 
 
-def _ranges(docs: DataFrame, order: Column, rows: int, most: int) -> Column:
-    """The number of the id range of a row: ranges of about equal counts, found by a search in two steps."""
+def _constants(values: list[int]) -> Column:
+    """An array of numbers as one short constant of the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _ranges(docs: DataFrame, order: Column, spread: Column, rows: int, most: int) -> Column:
+    """The number of the range of a row: ranges of about equal counts that rise with order and then with spread.
+
+    order: a long; spread: a hash as a long, which parts the rows of an id that fills several ranges. Range marks are
+    found by a search in two steps.
+    """
     n = docs.count()
     side = max(1, math.isqrt(min(most, n // rows)))
     if side == 1:
-        return F.lit(0)
+        return F.lit(0).cast("bigint")
     cuts = side * side
-    marks = docs.select(F.percentile_approx(order, [i / cuts for i in range(1, cuts)], 20 * cuts)).first()[0]
-    marks = sorted(set(marks))
+    found = docs.select(F.percentile_approx(order, [i / cuts for i in range(1, cuts)], 20 * cuts)).first()[0]
+    times = Counter(found)
+    marks = sorted(times)
     coarse, fine = marks[side - 1 :: side], [marks[i : i + side - 1] for i in range(0, len(marks), side)]
     if len(fine) <= len(coarse):
         fine.append([])
-    above = F.size(F.filter(F.array(*[F.lit(m) for m in coarse]), lambda m: m <= order)) if coarse else F.lit(0)
-    nested = F.array(*[F.array(*[F.lit(m) for m in f]).cast("array<bigint>") for f in fine])
-    return above * side + F.size(F.filter(F.get(nested, above), lambda m: m <= order))
+    above = F.size(F.filter(_constants(coarse), lambda m: m <= order)) if coarse else F.lit(0)
+    nested = F.transform(F.split(F.lit(";".join(",".join(map(str, f)) for f in fine)), ";"), lambda f: F.filter(F.split(f, ",").try_cast("array<bigint>"), lambda m: m.isNotNull()))
+    between = above * side + F.size(F.filter(F.get(nested, above), lambda m: m <= order))
+    # a mark that was found m times is an id with about m ranges of rows: its rows, the first of their range, get m ranges by spread
+    parts = [1, *(times[m] for m in marks)]
+    first = [0, *accumulate(p if p == 1 else p + 1 for p in parts)]
+    own, many = F.get(_constants([0, *marks]), between), F.get(_constants(parts), between)
+    share = F.least(F.floor((spread / 2.0**64 + 0.5) * many), many - 1)
+    part = F.when(many == 1, F.lit(0)).when(order == own, share).otherwise(many)
+    return (F.get(_constants(first), between) + part).cast("bigint")
 
 
 def edit_fingerprints(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE, most_ranges: int = MOST_RANGES) -> DataFrame:
@@ -114,24 +134,28 @@ def edit_fingerprints(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE, most_ra
 
     The edited text has its last quarter replaced by the start of the next document's text, by ascending doc_id; the
     last document is followed by the first. A null text is empty. Rows that repeat a doc_id follow each other in the
-    order of their texts, rows without a doc_id come first. Other columns are ignored. An empty table gives no rows.
+    order of a hash of their texts, and then of the texts; rows without a doc_id come first. Other columns are ignored. An
+    empty table gives no rows.
 
-    The next document is found by one shuffle into id ranges of about equal counts; a copy of each range's first
-    row goes to the range before, so no range waits for another and no task sees all rows.
+    The next document is found by one shuffle into ranges of about equal counts, in which an id of many rows is parted by
+    the hash; a copy of each range's first row goes to the range before, so no range waits for another and no task sees
+    all rows.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("_ord"))
-    base = base.withColumn("_range", _ranges(base, F.col("_ord"), rows_a_range, most_ranges))
-    firsts = base.groupBy("_range").agg(F.min("_ord").alias("_ord"))  # as many rows as there are ranges
+    base = base.withColumn("_h", F.xxhash64("text"))
+    base = base.withColumn("_range", _ranges(base, F.col("_ord"), F.col("_h"), rows_a_range, most_ranges))
+    firsts = base.groupBy("_range").agg(F.min(F.struct("_ord", "_h")).alias("x")).select("_range", "x.*")  # as many rows as there are ranges
     ring = W.partitionBy(F.lit(0)).orderBy("_range")
     whole = ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    lent = firsts.select("_ord", F.coalesce(F.lag("_range").over(ring), F.max("_range").over(whole)).alias("_before"))
-    borrowed = base.join(F.broadcast(lent), "_ord").select("doc_id", "text", "_ord", F.col("_before").alias("_range"), F.lit(True).alias("_lent"))
-    both = base.select("doc_id", "text", "_ord", "_range", F.lit(False).alias("_lent")).union(borrowed)
-    w = W.partitionBy("_range").orderBy("_lent", "_ord", "text")
+    lent = firsts.select("_ord", "_h", F.coalesce(F.lag("_range").over(ring), F.max("_range").over(whole)).alias("_before"))
+    one = base.join(F.broadcast(lent), ["_ord", "_h"]).groupBy("_before").agg(F.min(F.struct("text", "_ord", "_h")).alias("x"))  # one of equal rows is enough
+    borrowed = one.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "x.text", "x._ord", "x._h", F.col("_before").alias("_range"), F.lit(True).alias("_lent"))
+    both = base.select("doc_id", "text", "_ord", "_h", "_range", F.lit(False).alias("_lent")).union(borrowed)
+    w = W.partitionBy("_range").orderBy("_lent", "_ord", "_h", "text")
     linked = both.withColumn("_next", F.coalesce(F.lead("text").over(w), F.lit("")))
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - quarter), F.substring(F.col("_next"), F.lit(1), quarter))
-    linked = linked.select("doc_id", "text", "_ord", "_range", "_lent", F.when(~F.col("_lent"), edited).alias("edited"))
+    linked = linked.select("doc_id", "text", "_ord", "_h", "_range", "_lent", F.when(~F.col("_lent"), edited).alias("edited"))
     made = with_fingerprint(with_fingerprint(linked, "text", "fp"), "edited", "efp")
     made = made.withColumn("nfp", F.lead("fp").over(w))
     return made.filter(~F.col("_lent")).select(

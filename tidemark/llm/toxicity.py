@@ -1,7 +1,9 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Grades come from the labels: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in one of poor quality; grades
-that the labels do not show are left out. P(grade >= k) = sigmoid(w x - t_k) with one weight vector for all thresholds
+The labels tell three kinds of texts: not toxic, toxic in good quality, toxic in poor quality. Grade 0 is not toxic. The
+order of the toxic kinds is learned: each half of the training rows is scored by a model of toxic or not that was fitted
+on the other half, and the kind with the larger mean gets the higher grade, so a grade up is a step further from clean
+texts. Kinds that the labels do not show are left out. P(grade >= k) = sigmoid(w x - t_k) with one weight vector for all thresholds
 t_1 < t_2. The features are the words of a text and their beginnings of 4 to 6 letters, as present or not; those that
 stand out in toxic texts of the training rows are kept, and those that a text has share the value 1 equally, so that
 a long text with many of them does not leave the middle grade.
@@ -37,20 +39,21 @@ def features(text: str | None) -> set[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """text and grade of at most `rows` labelled documents, those with the least hash of their ids; of rows
+    """text and kind (0 not toxic, 1 toxic in good quality, 2 toxic in poor quality) of at most `rows` labelled documents, those with the least hash of their ids; of rows
     that share an id, the one with the least text.
     """
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).alias("quality"))
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
-    some = one.select("doc_id", grade.alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    kind = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
+    some = one.select("doc_id", kind.alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # bounded by `rows`
-    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade")).select("text", "grade")
+    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("kind").alias("kind")).select("text", "kind")
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, thresholds: np.ndarray, grades: list[int]):
-        self.vocabulary, self.weights, self.thresholds, self.grades = vocabulary, weights, thresholds, grades
-        self.steps = np.diff([0, *grades[1:]]) if len(grades) > 1 else np.zeros(0)
+    """kinds: the kind of each grade, from grade 0 on."""
+
+    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, thresholds: np.ndarray, kinds: list[int]):
+        self.vocabulary, self.weights, self.thresholds, self.kinds = vocabulary, weights, thresholds, kinds
 
     def chances(self, score: float) -> np.ndarray:
         """P(grade >= g) for each grade but the lowest."""
@@ -93,25 +96,38 @@ def fit_weights(rows: list[list[int]], y: np.ndarray, d: int, levels: int, steps
     return theta[:d], np.concatenate([[theta[d]], theta[d] + np.cumsum(gaps)])
 
 
+def ordered_kinds(rows: list[list[int]], kinds: np.ndarray, d: int) -> list[int]:
+    """The toxic kinds by their mean score in halves that the model was not fitted on."""
+    half, scores = np.arange(len(rows)) % 2, np.zeros(len(rows))
+    for side in (0, 1):
+        train = [rows[i] for i in np.flatnonzero(half != side)]
+        w, _ = fit_weights(train, (kinds[half != side] > 0).astype(int), d, 2)
+        for i in np.flatnonzero(half == side):
+            scores[i] = w[rows[i]].mean() if rows[i] else 0.0
+    return sorted({int(k) for k in kinds if k}, key=lambda k: (float(scores[kinds == k].mean()), k))
+
+
 def fit(training: DataFrame, most_features: int = FEATURES) -> Model:
-    """training: text and grade, a bounded number of rows. Feature counts are made on the workers."""
+    """training: text and kind, a bounded number of rows. Feature counts are made on the workers.
+
+    Where no feature stands out, all texts have one severity, the mean grade of the training rows.
+    """
     training = training.cache()
-    sizes = {r.grade: r["count"] for r in training.groupBy("grade").count().collect()}
-    grades = sorted(sizes)
+    sizes = {r.kind: r["count"] for r in training.groupBy("kind").count().collect()}
     toxic, clean = sum(n for g, n in sizes.items() if g), sizes.get(0, 0)
     if not toxic or not clean:
         training.unpersist()
-        return Model({}, np.zeros(0), np.zeros(0), grades[:1])
+        return Model({}, np.zeros(0), np.zeros(0), sorted(sizes)[:1])
 
     def count(batches):
         for b in batches:
             seen: dict[str, list[int]] = {}
-            for text, grade in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for f in features(text):
-                    seen.setdefault(f, [0, 0])[grade > 0] += 1
+                    seen.setdefault(f, [0, 0])[kind > 0] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["f", "c", "t"])
 
-    sums = training.select("text", "grade").mapInArrow(count, "f string, c bigint, t bigint").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    sums = training.select("text", "kind").mapInArrow(count, "f string, c bigint, t bigint").groupBy("f").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     share = (F.col("c") + F.col("t") + 1) / (toxic + clean + 2)
     z = (F.col("t") / toxic - F.col("c") / clean) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
     kept = sums.filter(F.col("t") >= LEAST_DOCS).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(most_features)
@@ -120,13 +136,16 @@ def fit(training: DataFrame, most_features: int = FEATURES) -> Model:
     def rows(batches):
         for b in batches:
             found = [sorted(vocabulary[f] for f in features(t) if f in vocabulary) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], ["x", "grade"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], ["x", "kind"])
 
-    data = training.select("text", "grade").mapInArrow(rows, "x array<int>, grade int").collect()
+    data = training.select("text", "kind").mapInArrow(rows, "x array<int>, kind int").collect()
     training.unpersist()
-    y = np.array([grades.index(r.grade) for r in data])
-    w, cuts = fit_weights([r.x for r in data], y, len(vocabulary), len(grades))
-    return Model(vocabulary, w, cuts, grades)
+    data.sort(key=lambda r: (r.kind, r.x))  # the halves do not hang on the order in which rows come
+    found, kinds = [r.x for r in data], np.array([r.kind for r in data])
+    order = [0, *ordered_kinds(found, kinds, len(vocabulary))]
+    y = np.array([order.index(k) for k in kinds])
+    w, cuts = fit_weights(found, y, len(vocabulary), len(order))
+    return Model(vocabulary, w, cuts, order)
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
@@ -139,7 +158,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for b in batches:
             chances = [model.chances(model.score(t.as_py())) for t in b.column(1)]
-            expected = [float(c @ model.steps) for c in chances]
+            expected = [float(c.sum()) for c in chances]
             first = [float(c[0]) if len(c) else 0.0 for c in chances]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c >= TOXIC_FROM for c in first], pa.bool_()), pa.array(expected, pa.float64()), pa.array(first, pa.float64())], ["doc_id", "toxic", "severity", "toxic_chance"])
 
