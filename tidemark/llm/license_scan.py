@@ -112,6 +112,10 @@ FORMS = [
     ("subject", rf"subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{{name}} {_L}", 2, 0.9),
     ("named", rf"(?:the )?{{name}} {_L}(?: (?:version )?\d(?: \d)?)?", 1, 0.8),
 ]
+#: names that are common words too: they need the word license behind them
+COMMON = frozenset("python php postgresql elastic artistic libpng zlib x11 font freebsd server business boost common".split())
+#: a second license: "under MIT and GPLv2"
+JOINED = rf"under (?:both )?(?:the )?(?:terms of (?:the )?)?(?:mit|expat|apache|bsd|isc|gnu|gpl|gplv2|gplv3|lgpl|lgplv2|lgplv3|agpl|mpl|epl|artistic|zlib|boost)(?: (?!and |or )[^ ]+){{{{0,6}}}} (?:and|or) (?:the )?(?:terms of (?:the )?)?{{name}}"
 PRIORITIES = (3, 2, 1)
 #: (label, keyword, expression) for sentences of license texts and notices
 BODIES = [
@@ -128,17 +132,143 @@ BODIES = [
     ("zlib", "plainly", r"altered source versions must be plainly marked as such"),
     ("bsl-1.0", "accompanying", r"obtaining a copy of the software and accompanying documentation covered by this license"),
 ]
+#: (label, words) of identifiers that come with versions; the keyword is the first word
+VERSIONED = [
+    ("gpl", "gpl", ("1.0", "2.0", "3.0")),
+    ("lgpl", "lgpl", ("2.0", "2.1", "3.0")),
+    ("agpl", "agpl", ("1.0", "3.0")),
+    ("gfdl", "gfdl", ("1.1", "1.2", "1.3")),
+]
+IDENTIFIED = [
+    ("apache", "apache", ("1.0", "1.1", "2.0")), ("mpl", "mpl", ("1.0", "1.1", "2.0")), ("epl", "epl", ("1.0", "2.0")), ("eupl", "eupl", ("1.0", "1.1", "1.2")), ("cddl", "cddl", ("1.0", "1.1")),
+    ("cecill", "cecill", ("1.0", "1.1", "2.0", "2.1")), ("osl", "osl", ("1.0", "1.1", "2.0", "2.1", "3.0")), ("afl", "afl", ("1.1", "1.2", "2.0", "2.1", "3.0")), ("artistic", "artistic", ("1.0", "2.0")),
+    ("cc0", "cc0", ("1.0",)), ("ofl", "ofl", ("1.0", "1.1")), ("bsl", "bsl", ("1.0",)), ("busl", "busl", ("1.1",)), ("sspl", "sspl", ("1.0",)), ("elastic", "elastic", ("2.0",)), ("lppl", "lppl", ("1.0", "1.1", "1.2")),
+    ("upl", "upl", ("1.0",)), ("zpl", "zpl", ("2.0", "2.1")), ("odbl", "odbl", ("1.0",)), ("pddl", "pddl", ("1.0",)), ("mulanpsl", "mulanpsl", ("1.0", "2.0")), ("ecl", "ecl", ("1.0", "2.0")), ("efl", "efl", ("1.0", "2.0")),
+    ("apsl", "apsl", ("1.0", "1.1", "1.2", "2.0")), ("cpal", "cpal", ("1.0",)), ("rpl", "rpl", ("1.1", "1.5")), ("qpl", "qpl", ("1.0",)), ("npl", "npl", ("1.0", "1.1")), ("ipl", "ipl", ("1.0",)),
+]
+#: (label, keyword, expression) of identifiers of other shapes, headers, addresses and notices
+SIGNATURES = [
+    ("bsd-1-clause", "bsd", r"bsd 1 clause"),
+    ("bsd-2-clause", "bsd", r"bsd 2 clause(?: simplified)?"),
+    ("bsd-2-clause-patent", "bsd", r"bsd 2 clause patent"),
+    ("bsd-3-clause", "bsd", r"bsd 3 clause"),
+    ("bsd-3-clause-clear", "bsd", r"bsd 3 clause clear"),
+    ("bsd-4-clause", "bsd", r"bsd 4 clause"),
+    ("0bsd", "0bsd", r"0bsd"),
+    ("ms-pl", "ms", r"ms pl"),
+    ("ms-rl", "ms", r"ms rl"),
+    ("cecill-b", "cecill", r"cecill b"),
+    ("cecill-c", "cecill", r"cecill c"),
+    ("lppl-1.3c", "lppl", r"lppl 1 3c"),
+    ("odc-by-1.0", "odc", r"odc by 1 0"),
+    ("blueoak-1.0.0", "blueoak", r"blueoak 1 0 0"),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter)"),
+    ("mit-0", "mit", r"mit 0"),
+    ("mit", "license", r"license (?:id |name |type )?mit"),
+    ("isc", "license", r"license (?:id |name |type )?isc"),
+    ("zlib", "license", r"license (?:id |name |type )?zlib"),
+    ("ncsa", "license", r"license (?:id |name |type )?ncsa"),
+    ("x11", "license", r"license (?:id |name |type )?x11"),
+    ("wtfpl", "license", r"license (?:id |name |type )?wtfpl"),
+    ("unlicense", "license", r"license (?:id |name |type )?unlicense"),
+    ("mit", "licensed", r"mit licensed"),
+    ("apache", "licensed", r"apache licensed"),
+    ("bsd", "licensed", r"bsd licensed"),
+    ("gpl", "licensed", r"gpl licensed"),
+    ("lgpl", "licensed", r"lgpl licensed"),
+    ("agpl", "licensed", r"agpl licensed"),
+    ("mpl", "licensed", r"mpl licensed"),
+    ("apache-1.1", "apache", r"apache org licenses license 1 1"),
+    ("apache-2.0", "apache", r"apache org licenses license 2 0"),
+    ("mit", "opensource", r"opensource org licenses? mit"),
+    ("isc", "opensource", r"opensource org licenses? isc"),
+    ("zlib", "opensource", r"opensource org licenses? zlib"),
+    ("artistic-2.0", "opensource", r"opensource org licenses? artistic(?: license)? 2 0"),
+    ("bsd-2-clause", "opensource", r"opensource org licenses? bsd 2 clause"),
+    ("bsd-3-clause", "opensource", r"opensource org licenses? bsd 3 clause"),
+    ("apache-2.0", "opensource", r"opensource org licenses? apache 2 0"),
+    ("gpl-2.0", "gnu", r"gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl-3.0", "gnu", r"gnu org licenses gpl 3 0"),
+    ("gpl", "gnu", r"gnu org (?:licenses|copyleft) gpl"),
+    ("lgpl-2.1", "gnu", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl-3.0", "gnu", r"gnu org licenses lgpl 3 0"),
+    ("lgpl", "gnu", r"gnu org (?:licenses|copyleft) (?:lgpl|lesser)"),
+    ("agpl-3.0", "gnu", r"gnu org licenses agpl 3 0"),
+    ("agpl", "gnu", r"gnu org licenses agpl"),
+    ("gfdl", "gnu", r"gnu org (?:licenses|copyleft) fdl"),
+    ("mpl-2.0", "mozilla", r"mozilla org mpl 2 0"),
+    ("mpl-1.1", "mozilla", r"mozilla org mpl mpl 1 1"),
+    ("mpl", "mozilla", r"mozilla org mpl"),
+    ("epl-1.0", "eclipse", r"eclipse org (?:legal|org documents) epl v10"),
+    ("epl-2.0", "eclipse", r"eclipse org legal epl 2 0"),
+    ("bsl-1.0", "boost", r"boost org license 1 0"),
+    ("unlicense", "unlicense", r"unlicense org"),
+    ("cc0-1.0", "creativecommons", r"creativecommons org publicdomain zero 1 0"),
+    ("cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd \d \d"),
+    ("cc-by-nc-sa", "creativecommons", r"creativecommons org licenses by nc sa \d \d"),
+    ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc \d \d"),
+    ("cc-by-nd", "creativecommons", r"creativecommons org licenses by nd \d \d"),
+    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa \d \d"),
+    ("cc-by", "creativecommons", r"creativecommons org licenses by \d \d"),
+    ("wtfpl", "wtfpl", r"wtfpl net"),
+    ("ofl-1.1", "ofl", r"scripts sil org ofl"),
+    ("sspl-1.0", "mongodb", r"mongodb com licensing server side public license"),
+    ("elastic-2.0", "elastic", r"elastic co licensing elastic license"),
+    ("gpl-2.0", "either", r"general public license as published by the free software foundation either version 2"),
+    ("gpl-3.0", "either", r"general public license as published by the free software foundation either version 3"),
+    ("lgpl-2.1", "either", r"lesser general public license as published by the free software foundation either version 2 1"),
+    ("lgpl-3.0", "either", r"lesser general public license as published by the free software foundation either version 3"),
+    ("agpl-3.0", "either", r"affero general public license as published by the free software foundation either version 3"),
+    ("gpl-2.0", "either", r"gnu gpl(?: [^ ]+){0,10} either version 2"),
+    ("gpl-3.0", "either", r"gnu gpl(?: [^ ]+){0,10} either version 3"),
+    ("gpl-2.0", "published", r"general public license version 2 as published by the free software foundation"),
+    ("gpl-3.0", "published", r"general public license version 3 as published by the free software foundation"),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-2.0", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?2 0"),
+    ("epl-1.0", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("cddl-1.0", "subject", r"subject to the terms of the common development and distribution license"),
+    ("bsl-1.0", "boost", r"distributed under the boost software license version 1 0"),
+    ("mit", "merchantability", r"warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("ncsa", "illinois", r"university of illinois ncsa open source license"),
+    ("wtfpl", "fuck", r"do what the fuck you want to public license"),
+    ("beerware", "beerware", r"beerware license"),
+    ("json", "evil", r"shall be used for good not evil"),
+    ("openssl", "openssl", r"openssl license"),
+    ("curl", "curl", r"curl license"),
+    ("public-domain", "domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
+    ("gpl-classpath", "classpath", r"(?:gpl|general public license)(?: [^ ]+){0,4} with (?:the )?classpath exception"),
+    ("all-rights-reserved", "reserved", r"all rights reserved"),
+    ("commercial", "commercial", r"under a commercial license"),
+    ("proprietary", "proprietary", r"proprietary and confidential"),
+]
+#: parts of the identifiers of one family, for which all versions have rules
+CC_PARTS = ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")
 BODY = 3, 0.95
+IDENTIFIER = 2, 0.95
+
+
+def signatures() -> list[tuple[str, str, str]]:
+    """(label, keyword, expression) of all single signatures: those of identifiers with versions are made from their lists."""
+    out = [(f"{label}-{v}{end}", word, f"{word} {v.replace('.', ' ')}{end.replace('-', ' ')}") for label, word, versions in VERSIONED for v in versions for end in ("-only", "-or-later", "")]
+    out += [(f"{label}-{v}", word, f"{word} {v.replace('.', ' ')}") for label, word, versions in IDENTIFIED for v in versions]
+    out += [(f"cc-{part.replace(' ', '-')}-{v}", "cc", f"cc {part} {v.replace('.', ' ')}") for part in CC_PARTS for v in ("1.0", "2.0", "2.5", "3.0", "4.0")]
+    return out + SIGNATURES
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """(number, label, keyword, expression, priority, confidence), in order: every form of every name, then bodies."""
+    """(number, label, keyword, expression, priority, confidence), in order: every form of every name, signatures, then bodies."""
     out = []
     for label, keyword, name in NAMES:
-        for kind, form, priority, confidence in FORMS:
+        for kind, form, priority, confidence in [*FORMS, ("joined", JOINED, 2, 0.9)]:
             if kind == "named" and "(?: license)?" in name:  # the word stands within the name, before its version
                 form = "(?:the )?{name}"
+            elif kind == "named" and name == "mit":  # "mit" is a word of German, and "licence" one of French
+                form = rf"(?:(?:the )?{{name}} license|(?:the|an|expat|under|of) {{name}} licence)(?: (?:version )?\d(?: \d)?)?"
+            elif kind in ("grant", "joined") and keyword in COMMON and " public" not in name:
+                form = form.replace(rf"{{name}}(?: public)?(?: {_L})?", rf"{{name}} {_L}") if kind == "grant" else f"{form} {_L}"
             out.append((len(out), label, keyword, f" {form.format(name=f'(?:{name})')}(?= )", priority, confidence))
+    for label, keyword, signature in signatures():
+        out.append((len(out), label, keyword, f" {signature}(?= )", *IDENTIFIER))
     return out + [(len(out) + i, label, keyword, f" {body}(?= )", *BODY) for i, (label, keyword, body) in enumerate(BODIES)]
 
 
@@ -149,7 +279,7 @@ def _rule_table(spark: SparkSession) -> DataFrame:
 
 def _also(expression: str) -> str:
     """Words of which a text must have one for the expression to match, as SQL; none where it can match without."""
-    if ") under (?:" in expression:
+    if ") under (?:" in expression or expression.startswith(" under "):
         return "array('under')"
     return "array('license', 'licence')" if re.search(rf" {re.escape(_L)}(?!\)\?)", expression) else "cast(array() as array<string>)"
 
