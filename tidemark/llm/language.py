@@ -121,7 +121,8 @@ def prototypes(docs: DataFrame, texts_a_language: int = TEXTS_A_LANGUAGE, dimens
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     million = 1_000_000
     share = known.groupBy("lang").agg(F.least(F.lit(1.0), texts_a_language / F.count(F.lit(1))).alias("share"))
-    some = known.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < (F.col("share") * million).cast("int"))
+    # a row for each language, of which every worker holds a whole vector later
+    some = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < (F.col("share") * million).cast("int"))
 
     def run(batches):
         encoder, sums = encoder_of(dimensions), {}
