@@ -439,9 +439,10 @@ def dedupe_stream(spark, d):
 
 @register(f"""WITH {T}, rep AS (SELECT symbol, price, quantity, "timestamp", CASE WHEN trade_id % 17 <> 0 THEN trade_id END AS trade_id, is_buyer_maker FROM trades
  UNION ALL SELECT symbol, price, quantity, "timestamp" + INTERVAL 1 SECOND, CASE WHEN trade_id % 17 <> 0 THEN trade_id END, is_buyer_maker FROM trades WHERE trade_id % 10 = 0)
-SELECT * FROM rep WHERE trade_id IS NULL OR "timestamp" < (SELECT max("timestamp") FROM rep) - INTERVAL 10 MINUTE QUALIFY trade_id IS NULL OR row_number() OVER (PARTITION BY symbol, trade_id ORDER BY "timestamp") = 1""")
+SELECT * FROM rep QUALIFY (trade_id IS NULL AND "timestamp" < (SELECT max("timestamp") FROM rep) - INTERVAL 20 MINUTE)
+ OR (row_number() OVER (PARTITION BY symbol, trade_id ORDER BY "timestamp") = 1 AND trade_id IS NOT NULL AND max("timestamp") OVER (PARTITION BY symbol, trade_id) < (SELECT max("timestamp") FROM rep) - INTERVAL 20 MINUTE)""")
 def dedupe_earliest(spark, d):
-    """The earliest of repeated trades out of a stream; rows within the delay of the newest are still held."""
+    """The earliest of repeated trades out of a stream; ids whose last row is near the newest are still held."""
     return ntz(st.drain(late.earliest_trades(repeated(st.plain_trade_stream(spark, d))), st.scratch(spark)))
 
 

@@ -1,4 +1,4 @@
-"""Bars that late trades correct, and deduplication in which the earliest row wins: keyed state with event-time timers."""
+"""Bars that late trades correct, by keyed state with event-time timers, and deduplication in which the earliest row wins."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.schemas import INTERVALS
 
 DELAY, GRACE = "10 minutes", "1 day"
+#: so many neighbouring bars of a symbol share a key of the state
+BARS_A_KEY = 24
 
 
 def _millis(span: str) -> int:
@@ -19,53 +21,71 @@ def _millis(span: str) -> int:
 
 
 class CorrectedBars(StatefulProcessor):
-    """A bar of (symbol, start): a first version `grace` after its end is `delay` old, and a last one if late trades changed it.
+    """The bars of a symbol and block of bars: each a first time `grace` before the watermark passes its end, and a last time if late trades changed it.
 
-    The stream's watermark lies delay and grace behind. A timer at end - grace gives the first version, one at end gives
-    the last and forgets the bar. Trades that come after that are passed on as they are, of the kind `late`.
+    The stream's watermark lies delay and grace behind the newest trade. One timer a key stands at the next time at which a
+    bar is due; a bar is forgotten when the watermark has passed its end. Trades that come after that are passed on as
+    they are, of the kind `late`. A bar is kept as start, the first trade's time, id and price, high, low, the last
+    trade's time, id and price, volume, the versions given and whether it has changed since.
     """
 
     schema = "kind string, symbol string, start bigint, open double, high double, low double, close double, volume double, version int, trade_id bigint, price double, quantity double, at bigint"
+    bar = "start bigint, first bigint, first_id bigint, open double, high double, low double, last bigint, last_id bigint, close double, volume double, version int, changed boolean"
 
     def __init__(self, length: int, grace: int):
         self.length, self.grace = length, grace
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("bar", "first bigint, first_id bigint, open double, high double, low double, last bigint, last_id bigint, close double, volume double, version int, changed boolean")
+        self.state = handle.getValueState("bars", f"bars array<struct<{self.bar.replace(' ', ':').replace(',:', ', ')}>>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        symbol, start = key
-        df = pd.concat(list(rows))
-        end = start // 1000 + self.length
-        if timerValues.getCurrentWatermarkInMs() >= end:
-            yield pd.DataFrame({"kind": "late", "symbol": symbol, "start": start, "open": None, "high": None, "low": None, "close": None, "volume": None, "version": None, "trade_id": df.trade_id.astype("Int64"), "price": df.price, "quantity": df.quantity, "at": df["at"]})
+    def end(self, start: int) -> int:
+        return start // 1000 + self.length
+
+    def bars(self) -> dict[int, tuple]:
+        old = self.state.get()
+        return {b[0]: tuple(b) for b in old[0]} if old is not None else {}
+
+    def keep(self, bars: dict[int, tuple]) -> None:
+        if not bars:
+            self.state.clear()
             return
-        df = df.assign(_id=df.trade_id.astype("Int64").fillna(-1)).sort_values(["at", "_id"])
-        a, b = df.iloc[0], df.iloc[-1]
-        first, last = (int(a["at"]), int(a._id), float(a.price)), (int(b["at"]), int(b._id), float(b.price))
-        high, low, volume, version = float(df.price.max()), float(df.price.min()), float(df.quantity.sum()), 0
-        if self.state.exists():
-            f, fi, o, h, lo, l, li, c, v, version, _ = self.state.get()
-            first, last, high, low, volume = min(first, (f, fi, o)), max(last, (l, li, c)), max(high, h), min(low, lo), volume + v
-        else:
-            self.handle.registerTimer(end - self.grace)
-            self.handle.registerTimer(end)
-        self.state.update((*first, high, low, *last, volume, version, True))
+        self.state.update(([bars[s] for s in sorted(bars)],))
+        self.handle.registerTimer(min(self.end(s) - (0 if b[10] else self.grace) for s, b in bars.items()))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark, bars, new = timerValues.getCurrentWatermarkInMs(), self.bars(), False
+        for df in rows:
+            over = df.start // 1000 + self.length <= watermark
+            if over.any():
+                late = df[over]
+                empty = dict.fromkeys(("open", "high", "low", "close", "volume", "version"))
+                yield pd.DataFrame({"kind": "late", "symbol": key[0], "start": late.start, **empty, "trade_id": late.trade_id.astype("Int64"), "price": late.price, "quantity": late.quantity, "at": late["at"]})
+            df = df[~over]
+            df = df.assign(_id=df.trade_id.astype("Int64").fillna(-1)).sort_values(["at", "_id"])
+            for start, part in df.groupby("start"):
+                a, b = part.iloc[0], part.iloc[-1]
+                first, last = (int(a["at"]), int(a._id), float(a.price)), (int(b["at"]), int(b._id), float(b.price))
+                high, low, volume, version, new = float(part.price.max()), float(part.price.min()), float(part.quantity.sum()), 0, True
+                if (old := bars.get(int(start))) is not None:
+                    first, last, version = min(first, old[1:4]), max(last, old[6:9]), old[10]
+                    high, low, volume = max(high, old[4]), min(low, old[5]), volume + old[9]
+                bars[int(start)] = (int(start), *first, high, low, *last, volume, version, True)
+        if new:
+            self.keep(bars)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        symbol, start = key
-        if not self.state.exists():
-            return
-        f, fi, o, h, lo, l, li, c, v, version, changed = self.state.get()
-        final = expiredTimerInfo.getExpiryTimeInMs() >= start // 1000 + self.length
-        if final:
-            self.state.clear()
-        else:
-            self.state.update((f, fi, o, h, lo, l, li, c, v, version + changed, False))
-        if changed:
-            row = {"kind": "bar", "symbol": symbol, "start": start, "open": o, "high": h, "low": lo, "close": c, "volume": v, "version": version + 1}
-            yield pd.DataFrame([row | {"trade_id": None, "price": None, "quantity": None, "at": None}]).astype({"trade_id": "Int64", "at": "Int64", "price": "float64", "quantity": "float64"})
+        watermark, left, out = timerValues.getCurrentWatermarkInMs(), {}, []
+        for start, b in self.bars().items():
+            final, due = watermark >= self.end(start), b[10] == 0 and watermark >= self.end(start) - self.grace
+            if b[11] and (final or due):
+                out.append({"kind": "bar", "symbol": key[0], "start": start, "open": b[3], "high": b[4], "low": b[5], "close": b[8], "volume": b[9], "version": b[10] + 1, "trade_id": None, "price": None, "quantity": None, "at": None})
+                b = (*b[:10], b[10] + 1, False)
+            if not final:
+                left[start] = b
+        self.keep(left)
+        if out:
+            yield pd.DataFrame(out).astype({"trade_id": "Int64", "at": "Int64", "price": "float64", "quantity": "float64"})
 
     def close(self) -> None:
         pass
@@ -81,7 +101,8 @@ def corrected_bars(trades: DataFrame, interval: str = "1h", delay: str = DELAY,
     both = trades.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", f"{_millis(delay) + _millis(grace)} milliseconds")
     # the time goes on as a number, so that late rows are not dropped on the way to the state
     rows = both.withColumn("start", F.unix_micros(F.window("timestamp", INTERVALS[interval])["start"])).select("symbol", "start", "trade_id", "price", "quantity", F.unix_micros("timestamp").alias("at"))
-    found = rows.groupBy("symbol", "start").transformWithStateInPandas(CorrectedBars(_millis(INTERVALS[interval]), _millis(grace)), CorrectedBars.schema, "Append", "EventTime")
+    rows = rows.withColumn("block", F.floor(F.col("start") / (BARS_A_KEY * 1000 * _millis(INTERVALS[interval]))))
+    found = rows.groupBy("symbol", "block").transformWithStateInPandas(CorrectedBars(_millis(INTERVALS[interval]), _millis(grace)), CorrectedBars.schema, "Append", "EventTime")
     time = lambda c: F.timestamp_micros(c)
     return found.select("kind", "symbol", F.lit(interval).alias("interval"), time("start").alias("timestamp"), "open", "high", "low", "close", "volume", "version", "trade_id", "price", "quantity", time("at").alias("traded_at"))
 
@@ -97,55 +118,15 @@ def late_trades(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 'late'").select("symbol", "price", "quantity", F.col("traded_at").alias("timestamp"), "trade_id")
 
 
-class Earliest(StatefulProcessor):
-    """The earliest row of a (symbol, trade_id), given once no earlier one can be in time, and remembered `keep` longer."""
-
-    schema = "symbol string, price double, quantity double, at bigint, trade_id bigint, is_buyer_maker boolean"
-
-    def __init__(self, keep: int):
-        self.keep = keep
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("row", "symbol string, trade_id bigint, at bigint, price double, quantity double, maker boolean, given boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows))
-        if df.trade_id.isna().iloc[0]:
-            yield df[["symbol", "price", "quantity", "at", "trade_id", "is_buyer_maker"]].astype({"trade_id": "Int64"})
-            return
-        r = df.sort_values(["at", "price", "quantity"], na_position="first").iloc[0]
-        new = (int(r["at"]), *[None if pd.isna(x) else float(x) for x in (r.price, r.quantity)])
-        old = self.state.get() if self.state.exists() else None
-        order = lambda x: tuple((v is not None, v) for v in x)
-        if old is None or (not old[6] and order(new) < order(old[2:5])):
-            self.state.update((r.symbol, int(r.trade_id), *new, None if pd.isna(r.is_buyer_maker) else bool(r.is_buyer_maker), False))
-            self.handle.registerTimer(new[0] // 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        symbol, trade_id, at, price, quantity, maker, given = self.state.get()
-        if not given:
-            self.state.update((symbol, trade_id, at, price, quantity, maker, True))
-            self.handle.registerTimer(at // 1000 + self.keep)
-            yield pd.DataFrame([(symbol, price, quantity, at, trade_id, maker)], columns=["symbol", "price", "quantity", "at", "trade_id", "is_buyer_maker"]).astype({"price": "float64", "quantity": "float64"})
-        elif expiredTimerInfo.getExpiryTimeInMs() >= at // 1000 + self.keep:
-            self.state.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def earliest_trades(trades: DataFrame, delay: str = DELAY, keep: str = GRACE) -> DataFrame:
-    """One row for each (symbol, trade_id), the earliest of all that come within the delay; the source is read once.
+def earliest_trades(trades: DataFrame, delay: str = DELAY) -> DataFrame:
+    """One row for each (symbol, trade_id), the earliest by (timestamp, price, quantity) as in the batch; the source is read once.
 
-    A key's row is held until the watermark has passed its time. Repeats that come later, until `keep` after its time,
-    are dropped. Rows without a trade_id all pass at once; their keys are spread by their values.
+    Rows of an id that follow each other within the delay are one session, whose earliest row is given once the watermark
+    has passed the last by the delay; a repeat that comes later than that is dropped as late. Rows without a trade_id are
+    sessions of their own, so all of them pass.
     """
+    cols = trades.columns
     both = trades.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
-    spread = F.concat(F.lit("-"), F.xxhash64("timestamp", "price", "quantity").cast("string"))
-    name = F.to_json(F.struct("symbol", F.coalesce(F.col("trade_id").cast("string"), spread).alias("id")))  # one text, without nulls
-    rows = both.select(name.alias("name"), "symbol", "trade_id", "price", "quantity", "is_buyer_maker", F.unix_micros("timestamp").alias("at"))
-    found = rows.groupBy("name").transformWithStateInPandas(Earliest(_millis(keep)), Earliest.schema, "Append", "EventTime")
-    return found.select("symbol", "price", "quantity", F.timestamp_micros("at").alias("timestamp"), "trade_id", "is_buyer_maker")
+    rows = both.withColumn("_own", F.when(F.col("trade_id").isNull(), F.expr("uuid()")))
+    first = F.min_by(F.struct(*cols), F.struct("timestamp", "price", "quantity")).alias("x")
+    return rows.groupBy("symbol", "trade_id", "_own", F.session_window("timestamp", delay)).agg(first).select("x.*")
