@@ -5,12 +5,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-from pyspark import TaskContext
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import common, html_text, language, license_scan, line_dedup, mixing, packing, simhash, toxicity
-from tidemark.sources import writers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -162,15 +159,6 @@ def test_pipeline(spark, monkeypatch):
     assert max(fill.values()) <= 1024
 
 
-def test_alerts_are_found_in_many_tasks(spark):
-    task = F.udf(lambda: TaskContext.get().partitionId(), "int").asNondeterministic()
-    df = spark.range(0, 4_000, 1, 4).select(F.lit("A").alias("symbol"), (4_000 - F.col("id")).alias("detected_at"), F.lit("k").alias("kind"), task().alias("task")).filter("detected_at % 100 = 0")
-    out = writers.to_alerts(df)
-    got = [(int(re.search(r'"detected_at":(\d+)', r.value)[1]), re.search(r'"task":(\d+)', r.value)[1]) for r in out.collect()]
-    assert out.rdd.getNumPartitions() == 1 and [at for at, _ in got] == list(range(100, 4_001, 100))
-    assert {task for _, task in got} == {"0", "1", "2", "3"}
-
-
 def test_language_accepts_all_where_nothing_is_learned(spark, docs):
     rows = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id bigint, text string, lang string")
     assert language.accepted(rows).count() == 2
