@@ -1,0 +1,34 @@
+"""State over a long life: a query restarted with one more average."""
+
+import datetime as dt
+
+import pytest
+
+from tidemark.streaming import operators as st
+
+SCHEMA = "symbol string, interval string, timestamp timestamp, open double, high double, low double, close double, volume double"
+
+
+def bars(spark, folder, first, closes, symbol="A"):
+    rows = [(symbol, "1h", dt.datetime(2024, 1, 1) + dt.timedelta(hours=first + i), c, c, c, c, 1.0) for i, c in enumerate(closes)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(SCHEMA).parquet(folder)
+
+
+def ema(closes, span):
+    out = closes[:1]
+    for x in closes[1:]:
+        out.append(out[-1] + 2 / (span + 1) * (x - out[-1]))
+    return out
+
+
+def test_restart_with_one_more_average_goes_on_with_the_others(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    closes = [100.0 + (i * 37 % 23) for i in range(40)]
+    st.drain(st.indicators_stream(bars(spark, source, 0, closes[:25])), out)
+    got = st.drain(st.indicators_stream(bars(spark, source, 25, closes[25:]), extra=(50,)), out).orderBy("timestamp").collect()
+    assert [round(r.ema_12, 9) for r in got] == [round(x, 9) for x in ema(closes, 12)] and got[30].sma_20 == pytest.approx(sum(closes[11:31]) / 20)
+    assert [r.ema_50 for r in got[:25]] == [None] * 25  # the rows of before have no such column
+    assert [r.ema_50 for r in got[25:]] == pytest.approx(ema(closes[25:], 50))
+    more = st.drain(st.indicators_stream(bars(spark, source, 40, [90.0]), extra=(50, 5)), out).orderBy("timestamp").collect()[-1]
+    assert more.ema_50 == pytest.approx(ema([*closes[25:], 90.0], 50)[-1]) and more.ema_5 == 90.0

@@ -49,9 +49,18 @@ def ohlcv_stream(trades: DataFrame, interval: str = "1h", sums: bool = False) ->
 
 
 class Indicators(StatefulProcessor):
-    """The indicator row of each closed bar. State of a symbol: 20 closes, the previous close, five averages, a count."""
+    """The indicator row of each closed bar. State of a symbol: 20 closes, the previous close, five averages, a count.
 
-    schema = "symbol string, timestamp timestamp, rsi_14 double, macd double, macd_signal double, bollinger_upper double, bollinger_lower double, sma_20 double, ema_12 double"
+    extra: spans of further exponential averages of the close, given as ema_<span>. The state's schema is the same for any
+    number of them: a query that is restarted with one more reads the state that it left, and the new average starts at
+    the next bar.
+    """
+
+    base = "symbol string, timestamp timestamp, rsi_14 double, macd double, macd_signal double, bollinger_upper double, bollinger_lower double, sma_20 double, ema_12 double"
+
+    def __init__(self, extra: tuple[int, ...] = ()):
+        self.extra = extra
+        self.schema = ", ".join([self.base, *[f"ema_{n} double" for n in extra]])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("s", "closes array<double>, averages array<double>, n bigint")
@@ -63,19 +72,21 @@ class Indicators(StatefulProcessor):
             x = row.close
             move = x - closes[-1] if n else 0.0
             up, down = max(move, 0.0), max(-move, 0.0)
+            more = [a + 2 / (span + 1) * (x - a) for span, a in zip(self.extra, averages[5:])]
+            more += [x] * (len(self.extra) - len(more))
             if n:
-                fast, slow, signal, gain, loss = averages
+                fast, slow, signal, gain, loss = averages[:5]
                 fast, slow = fast + 2 / 13 * (x - fast), slow + 2 / 27 * (x - slow)
-                averages = [fast, slow, signal + 0.2 * (fast - slow - signal), gain + (up - gain) / 14, loss + (down - loss) / 14]
+                averages = [fast, slow, signal + 0.2 * (fast - slow - signal), gain + (up - gain) / 14, loss + (down - loss) / 14, *more]
             else:
-                averages = [x, x, 0.0, up, down]
+                averages = [x, x, 0.0, up, down, *more]
             n, closes = n + 1, [*closes[-19:], x]
-            fast, slow, signal, gain, loss = averages
+            fast, slow, signal, gain, loss = averages[:5]
             mean = dev = None
             if len(closes) == 20:
                 mean, dev = float(np.mean(closes)), float(np.std(closes))
             rsi = None if n < 14 else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-            out.append((key[0], row.timestamp, rsi, fast - slow, signal, None if mean is None else mean + 2 * dev, None if mean is None else mean - 2 * dev, mean, fast))
+            out.append((key[0], row.timestamp, rsi, fast - slow, signal, None if mean is None else mean + 2 * dev, None if mean is None else mean - 2 * dev, mean, fast, *more))
         self.state.update((closes, averages, n))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in self.schema.split(", ")])
 
@@ -113,8 +124,10 @@ class Alerts(StatefulProcessor):
         pass
 
 
-def indicators_stream(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").transformWithStateInPandas(Indicators(), Indicators.schema, "Append", "None")
+def indicators_stream(bars: DataFrame, extra: tuple[int, ...] = ()) -> DataFrame:
+    """The indicator row of each bar; extra as in Indicators."""
+    processor = Indicators(extra)
+    return bars.groupBy("symbol").transformWithStateInPandas(processor, processor.schema, "Append", "None")
 
 
 def alerts_stream(bars: DataFrame, n: int = 20, k: float = 3.0, interval: str = "1h") -> DataFrame:
