@@ -48,7 +48,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K, bins: i
 
     Null and empty texts have no items and give an empty array. A text of fewer than k tokens is one k-mer.
     """
-    t, a, b, c, s = (f"_{out}_{x}" for x in "tabcs")
+    t, a, b, c, s, h = (f"_{out}_{x}" for x in "tabcsh")
     shift = 63 - int(math.log2(bins))
     if 1 << (63 - shift) != bins:
         raise ValueError("bins must be a power of two")
@@ -56,10 +56,10 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K, bins: i
     starts = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.greatest(F.size(t) - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(a, F.sort_array(F.transform(starts, lambda i: _packed(F.xxhash64(*[F.get(t, i + j) for j in range(k)]), i))))
     # the first index of the run of equal k-mers that holds i: steps of halving length, only where the k-mer repeats
-    steps = F.array(*[F.lit(1 << j) for j in range(POS_BITS, -1, -1)])
+    df = df.withColumn(h, F.filter(F.array(*[F.lit(1 << j) for j in range(POS_BITS, -1, -1)]), lambda step: step < F.size(a)))
 
     def first_of_run(v: Column, i: Column) -> Column:
-        return F.aggregate(steps, i, lambda at, step: F.when((at >= step) & (_hash(F.get(a, at - step)) == _hash(v)), at - step).otherwise(at))
+        return F.aggregate(h, i, lambda at, step: F.when((at >= step) & (_hash(F.get(a, at - step)) == _hash(v)), at - step).otherwise(at))
 
     def occurrence(v: Column, i: Column) -> Column:
         repeats = (i > 0) & (_hash(F.get(a, i - 1)) == _hash(v))
@@ -80,7 +80,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K, bins: i
 
     where = F.transform(c, lambda v, i: F.when(opens(v, i), i))
     df = df.withColumn(s, F.filter(where, lambda i: i.isNotNull()))
-    return df.withColumn(out, F.transform(s, tuple_of)).drop(t, a, b, c, s)
+    return df.withColumn(out, F.transform(s, tuple_of)).drop(t, a, b, c, s, h)
 
 
 def likeness(x: str | Column, y: str | Column) -> Column:
