@@ -305,7 +305,9 @@ def features_1h(spark, d):
 
 
 def _predicted(spark, d) -> DataFrame:
-    early, late = forecast.split(forecast.features(hourly(spark, d)).persist())
+    path, rows = st.scratch(spark), forecast.features(hourly(spark, d))
+    rows.write.parquet(path)  # used by both fits and both predictions
+    early, late = forecast.split(spark.read.schema(rows.schema).parquet(path))
     return reduce(DataFrame.unionByName, [forecast.predict(forecast.fit(early, kind), late, kind) for kind in ("linear", "trees")])
 
 
