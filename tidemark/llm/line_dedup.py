@@ -288,21 +288,25 @@ class Lists:
         self.rows.append(rows)
         self.many += rows.shape[1]
         if self.many > self.hold:
-            rows, start, length = self.lists()
+            rows, start, length = self.lists(single=True)  # a list of one class may go on
             long = length > LONG_LIST
             yield from self.long_lists(rows, start[long], length[long])
             self.rows = [rows[:, np.repeat(~long, length)]]
             self.many = self.rows[0].shape[1]
             self.hold = max(HOLD, 2 * self.many)  # short lists stay
 
-    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All rows by key, each class once a list, without lists of one class; where lists begin, and their lengths."""
+    def lists(self, single: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All rows by key, each class once a list but for rare repeats; where lists begin, and their lengths.
+
+        Lists of one row are left out, unless single is set.
+        """
         rows = np.concatenate(self.rows, axis=1) if self.rows else np.zeros((len(POSTING), 0), np.int64)
         order = np.argsort(rows[KEY] << (63 - KEY_BITS) | rows[SID] & ((1 << 63 - KEY_BITS) - 1))
         key = rows[KEY][order]
-        again = np.concatenate(([False], key[1:] == key[:-1]))
-        met = again | np.append(again[1:], False) | (np.isin(key, list(self.first)) if self.first else False)
-        rows = rows[:, order[met]]
+        if not single:
+            again = np.concatenate(([False], key[1:] == key[:-1]))[: len(key)]
+            order = order[again | np.append(again[1:], False)[: len(key)] | (np.isin(key, list(self.first)) if self.first else False)]
+        rows = rows[:, order]
         same = (rows[:3, 1:] == rows[:3, :-1]).all(axis=0)
         rows = rows[:, np.concatenate(([True], ~same))[: rows.shape[1]]]
         start = np.flatnonzero(np.concatenate(([True], rows[KEY, 1:] != rows[KEY, :-1]))[: rows.shape[1]])
@@ -331,6 +335,8 @@ class Lists:
             index = index[index + d < end[index]]
             got.append(self.passing(rows, n, pos, index, index + d, apart_of))
         i, j, apart = (np.concatenate(x) for x in zip(*got))
+        other = (rows[SID : PAR + 1, i] != rows[SID : PAR + 1, j]).any(axis=0)  # a repeat is no partner of its class
+        i, j, apart = i[other], j[other], apart[other]
         many = np.bincount(np.concatenate((i, j)), minlength=rows.shape[1]) > MOST_PARTNERS
         give = ~(many[i] & many[j])
         if many.any():
