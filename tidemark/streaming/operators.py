@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -21,6 +22,8 @@ from tidemark.streaming.ingest import ingest, ingested, state_store
 
 DELAY = "10 minutes"
 SUMS = ["trades", "paid", "taken"]
+#: so many neighbouring ids are put in order together; rows without an id are dealt over so many groups
+IDS_A_GROUP, GROUPS_WITHOUT_ID = 8_192, 1_024
 
 
 def with_event_time(df: DataFrame, delay: str = DELAY, time: str = "timestamp") -> DataFrame:
@@ -28,13 +31,21 @@ def with_event_time(df: DataFrame, delay: str = DELAY, time: str = "timestamp")
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
+def _by_time(group: pa.Table) -> pa.Table:
+    return group.sort_by([(c, "ascending") for c in ("timestamp", "price", "quantity")])
+
+
 def dedupe_stream(trades: DataFrame) -> DataFrame:
-    """One row for each (symbol, trade_id) within the watermark; rows without a trade_id all pass.
+    """One row for each (symbol, trade_id) within the watermark, the earliest of its batch; rows without a trade_id all pass.
 
-    The source is read once: a row without an id has one of its own in the key, until the watermark has passed it.
+    Rows of an id reach the state in order of their time, from one task, whichever tasks have read them: those of
+    neighbouring ids are grouped and sorted in each batch. The source is read once: a row without an id has one of its
+    own in the key, until the watermark has passed it.
     """
+    block = F.coalesce(F.floor(F.col("trade_id") / IDS_A_GROUP), F.pmod(F.xxhash64("timestamp"), F.lit(GROUPS_WITHOUT_ID)))
+    ordered = trades.groupBy("symbol", F.col("trade_id").isNull(), block).applyInArrow(_by_time, trades.schema)  # the schema keeps the watermark
     own = F.when(F.col("trade_id").isNull(), F.expr("uuid()"))
-    return trades.withColumn("_own", own).dropDuplicatesWithinWatermark(["symbol", "trade_id", "_own"]).drop("_own")
+    return ordered.withColumn("_own", own).dropDuplicatesWithinWatermark(["symbol", "trade_id", "_own"]).drop("_own")
 
 
 def ohlcv_stream(trades: DataFrame, interval: str = "1h", sums: bool = False) -> DataFrame:
