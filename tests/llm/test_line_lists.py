@@ -1,6 +1,7 @@
 """Lists of the line index: what they give does not hang on how their postings come."""
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import line_dedup
 
@@ -41,3 +42,18 @@ def test_a_line_is_no_partner_of_its_own_class():
     """Two classes whose hashes end alike, one of them sent by two tasks."""
     a, b = 5, 5 + (1 << 40)
     assert pairs([postings((1, a, 0, 1), (1, b, 0, 2)), postings((1, a, 0, 1))]) == {((a, 0), (b, 0))}
+
+
+def test_postings_are_sent_in_few_bytes():
+    """Fewer than 37 bytes a posting, the size in which they were sent before, and none of them changed."""
+    rng = np.random.default_rng(6)
+    rows = rng.integers(-(1 << 63), 1 << 63, (6, 2_500))
+    rows[line_dedup.KEY] = rng.integers(0, 1 << line_dedup.KEY_BITS, 2_500)
+    rows[line_dedup.HALF] = 0
+    rows[line_dedup.AT] = rng.integers(5, 20, 2_500) << line_dedup.POS_BITS | rng.integers(0, 4, 2_500)
+    for ids, most in ((np.sort(rng.integers(0, 9_000, 2_500)), 25), (rng.integers(-(1 << 63), 1 << 63, 2_500), 33)):
+        rows[line_dedup.ID] = ids
+        for n in (0, 1, 2_500):
+            data = line_dedup.squeezed(rows[:, :n])
+            assert (line_dedup.expanded(pa.py_buffer(data), n) == rows[:, :n]).all()
+        assert len(data) < most * n

@@ -229,17 +229,32 @@ def _flat(b: pa.RecordBatch) -> np.ndarray:
     return np.stack((key >> POS_BITS, sid, par, half, id, n << POS_BITS | key & ((1 << POS_BITS) - 1)))
 
 
+def squeezed(rows: np.ndarray) -> bytes:
+    """Rows of POSTING in few bytes: steps of the ids, which mostly ascend, and bytes of one place of the numbers together."""
+    rows = rows.copy()
+    rows[ID, 1:] = np.diff(rows[ID])
+    places = rows.view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1).copy()
+    return pa.Codec("zstd", compression_level=1).compress(places.tobytes(), asbytes=True)
+
+
+def expanded(data: pa.Buffer, n: int) -> np.ndarray:
+    """What squeezed() was given: n columns."""
+    raw = pa.Codec("zstd").decompress(data, len(POSTING) * n * 8)
+    rows = np.frombuffer(raw, np.uint8).reshape(len(POSTING), 8, n).transpose(0, 2, 1).copy().view(np.int64)[:, :, 0]
+    rows[ID] = np.cumsum(rows[ID])
+    return rows
+
+
 def partners(lines: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes that pass the filters (key null), and the classes that are open (with the list's key).
 
     Columns key, sid, par, sid2, par2. A pair is missing only if each of its lines is open in every list where they
-    meet and pass. A task sends its postings as arrays, one row for each bucket of lists.
+    meet and pass. A task sends its postings as bytes, one row for each bucket of lists.
     """
     listed = _listed(lines)
     with tidy(lines.sparkSession):
         total = listed.agg(F.sum(F.size("keys"))).first()[0] or 0
     buckets = 1 + total // BUCKET
-    arrays = ", ".join(f"{c} array<bigint>" for c in POSTING)
 
     def pack(batches):
         held, many = [], 0
@@ -257,22 +272,23 @@ def partners(lines: DataFrame, threshold: float) -> DataFrame:
         order = np.argsort(bucket, kind="stable")
         bucket, rows = bucket[order], rows[:, order]
         start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        offsets = pa.array(np.append(start, len(bucket)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[start]), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in rows)], ["bucket", *POSTING])
+        many = np.diff(np.append(start, len(bucket)))
+        data = [squeezed(rows[:, i : i + n]) for i, n in zip(start.tolist(), many.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[start]), pa.array(many), pa.array(data, pa.binary())], ["bucket", "n", "data"])
 
     def meet(batches):
         now, lists = None, None
         for b in batches:
-            for i, bucket in enumerate(b.column(0).to_pylist()):
+            for bucket, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if bucket != now:
                     if lists is not None:
                         yield from lists.end()
                     now, lists = bucket, Lists(threshold)
-                yield from lists.add(np.stack([c[i].values.to_numpy() for c in b.columns[1:]]))
+                yield from lists.add(expanded(data.as_buffer(), n))
         if lists is not None:
             yield from lists.end()
 
-    dealt = listed.mapInArrow(pack, f"bucket bigint, {arrays}").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = listed.mapInArrow(pack, "bucket bigint, n bigint, data binary").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(meet, "key bigint, sid bigint, par bigint, sid2 bigint, par2 bigint")
 
 
@@ -480,10 +496,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: f
     ids = pairs.select(*CLASS).union(pairs.select("sid2", "par2")).distinct()
     known = stored(classes.select(*CLASS, "first").join(ids, CLASS, "left_semi"))
     texts = stored(line_texts(docs, known))
-    split = texts.withColumn("words", _line_words(F.col("words")))
-    a, b = (split.select(*[F.col(c).alias(f"{c}{v}") for c in (*CLASS, "first", "words")]) for v in ("", "2"))
-    both = pairs.join(a, CLASS).join(b, ["sid2", "par2"]).withColumn("shared", F.size(F.array_intersect("words", "words2")))
-    near = both.filter(F.col("shared") >= threshold * (F.size("words") + F.size("words2") - F.col("shared")) - 1e-9)
+    a, b = (texts.select(*[F.col(c).alias(f"{c}{v}") for c in (*CLASS, "first", "words")]) for v in ("", "2"))
+    both = pairs.join(a, CLASS).join(b, ["sid2", "par2"])  # texts are sent, and split where they meet
+    sets = F.array(F.struct(_line_words(F.col("words")).alias("x"), _line_words(F.col("words2")).alias("y")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("shared"), (F.size(s["x"]) + F.size(s["y"])).alias("all")))
+    near = both.filter(F.exists(sizes, lambda s: s["shared"] >= threshold * (s["all"] - s["shared"]) - 1e-9))
     later = F.when(F.col("first") < F.col("first2"), F.struct(F.col("sid2").alias("sid"), F.col("par2").alias("par"))).otherwise(F.struct(*CLASS))
     out = stored(near.select(later.alias("x")).select("x.*").distinct())
     dropped(known, texts)
