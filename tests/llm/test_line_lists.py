@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from tidemark.llm import line_dedup
+from tidemark.llm import line_dedup, word_sets
 
 
 def postings(*rows):
@@ -57,3 +57,48 @@ def test_postings_are_sent_in_few_bytes():
             data = line_dedup.squeezed(rows[:, :n])
             assert (line_dedup.expanded(pa.py_buffer(data), n) == rows[:, :n]).all()
         assert len(data) < most * n
+
+
+def test_halves_are_sent_where_a_line_is_long():
+    rng = np.random.default_rng(8)
+    rows = rng.integers(-(1 << 63), 1 << 63, (6, 2_500))
+    rows[line_dedup.KEY] = rng.integers(0, 1 << line_dedup.KEY_BITS, 2_500)
+    rows[line_dedup.HALF, rng.random(2_500) < 0.5] = 0
+    rows[line_dedup.ID] = np.sort(rng.integers(0, 9_000, 2_500))
+    rows[line_dedup.AT] = rng.integers(5, 200, 2_500) << line_dedup.POS_BITS
+    data = line_dedup.squeezed(rows)
+    assert (line_dedup.expanded(pa.py_buffer(data), 2_500) == rows).all()
+    assert data.count(rows[line_dedup.SID].tobytes()) == 1  # hashes are not worth compressing
+    assert len(data) < (5 + 16 + 4 + 4) * 2_500
+
+
+def test_words_by_eight_bytes():
+    """Words are told apart by every byte and by their length, whatever lies around them; A-Z count as a-z."""
+    long = bytes(range(97, 123)) * 5
+    own = [long[:n] for n in range(1, 131)] + [long[:n] + b"\0" for n in (1, 7, 8, 9, 16, 63, 64, 65)] + [long[:n] + b"?" + long[n + 1 : 70] for n in range(70)]
+    own += ["été".encode(), "Été".encode()]
+    for text in (b" ".join(own), b"\t\n ".join(reversed(own)), b" ".join(own).upper()):
+        start, end = word_sets.words(np.frombuffer(text, np.uint8))
+        assert len(set(word_sets.hashes(text, start, end).tolist())) == len(own) == len(start)
+    alone = {w: word_sets.hashes(w, np.array([0]), np.array([len(w)]))[0] for w in own}
+    start, end = word_sets.words(np.frombuffer(b" ".join(own).upper(), np.uint8))
+    assert word_sets.hashes(b" ".join(own).upper(), start, end).tolist() == [alone[w] for w in own]
+
+
+def test_texts_are_not_sorted_to_lose_their_lines(spark):
+    """Documents meet the few lists of their lines that go; only those are held."""
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 3}\nlast {i}") for i in range(9)], "doc_id bigint, text string")
+    out = line_dedup.dedup_lines(docs, min_words=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
+    assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in out.collect()) == [(i, 2, int(i > 2)) for i in range(9)]
+
+
+def test_the_first_of_each_group():
+    rng = np.random.default_rng(9)
+    for least, most in ((-(1 << 62), 1 << 62), (-50, 50), (1 << 61, (1 << 61) + 9_000)):
+        group, by = rng.integers(0, 40, 2_000), rng.integers(least, most, 2_000)
+        got = line_dedup._among_first(group, by, 3)
+        for g in range(40):
+            assert sorted(by[got & (group == g)].tolist()) == sorted(by[group == g].tolist())[:3]
+    assert len(line_dedup._among_first(np.zeros(0, np.int64), np.zeros(0, np.int64), 3)) == 0

@@ -171,7 +171,7 @@ def prefix_keys(sets: Sets, ranks: Ranks, threshold: float) -> tuple[np.ndarray,
 def line_rows(docs: DataFrame, ranks: Ranks, threshold: float, min_words: int) -> DataFrame:
     """doc_id, k, line, sid, par, half, n and keys of every line of at least min_words words.
 
-    sid and par name the line's class. A task gives the keys of equal sets once.
+    sid and par name the line's class. A task gives the keys of equal sets once, as the bytes of 64-bit numbers.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -199,13 +199,14 @@ def line_rows(docs: DataFrame, ranks: Ranks, threshold: float, min_words: int) -
                 if len(noted) < MOST_NOTED:
                     noted.add(name)
         keys, count = keys[np.repeat(new, count)], np.where(new, count, 0)
-        offsets = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
+        ends = np.concatenate(([0], np.cumsum(8 * count))).astype(np.int32)
+        listed = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer(keys)])
         at = pa.array(text)
         longs = [pa.array(x.view(np.int64)) for x in (sid, par, half)]
-        arrays = [b.column(0).take(at), b.column(1).take(at), pa.array(number.astype(np.int32)), *longs, pa.array(sets.size.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys))]
+        arrays = [b.column(0).take(at), b.column(1).take(at), pa.array(number.astype(np.int32)), *longs, pa.array(sets.size.astype(np.int32)), listed]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "k", "line", "sid", "par", "half", "n", "keys"])
 
-    return docs.select("doc_id", "k", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, k bigint, line int, sid bigint, par bigint, half bigint, n int, keys array<bigint>")
+    return docs.select("doc_id", "k", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, k bigint, line int, sid bigint, par bigint, half bigint, n int, keys binary")
 
 
 #: id hints at the order of the lines; at holds a line's words and its position under the key.
@@ -217,30 +218,44 @@ def _listed(lines: DataFrame) -> DataFrame:
     """keys, sid, par, half, id, n of the lines that have keys."""
     whole = lines.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     hint = F.col("doc_id").cast("bigint") if whole else F.conv(F.hex(F.substring(F.encode(F.col("doc_id").cast("string"), "UTF-8"), 1, 7)), 16, 10).cast("bigint")
-    return lines.filter(F.size("keys") > 0).select("keys", *CLASS, "half", F.coalesce(hint, F.lit(-1 << 62)).alias("id"), F.col("n").cast("bigint").alias("n"))
+    return lines.filter(F.octet_length("keys") > 0).select("keys", *CLASS, "half", F.coalesce(hint, F.lit(-1 << 62)).alias("id"), F.col("n").cast("bigint").alias("n"))
 
 
 def _flat(b: pa.RecordBatch) -> np.ndarray:
     """The postings (rows of POSTING) of a batch of _listed()."""
     lists = b.column(0)
-    line = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    key = lists.flatten().to_numpy()
+    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset :][: len(lists) + 1] if len(lists) else np.zeros(1, np.int32)
+    line = np.repeat(np.arange(len(lists)), np.diff(ends) // 8)
+    key = np.frombuffer(lists.buffers()[2] or b"", np.int64, len(line), ends[0])
     sid, par, half, id, n = (c.to_numpy()[line] for c in b.columns[1:])
     return np.stack((key >> POS_BITS, sid, par, half, id, n << POS_BITS | key & ((1 << POS_BITS) - 1)))
 
 
 def squeezed(rows: np.ndarray) -> bytes:
-    """Rows of POSTING in few bytes: steps of the ids, which mostly ascend, and bytes of one place of the numbers together."""
-    rows = rows.copy()
-    rows[ID, 1:] = np.diff(rows[ID])
-    places = rows.view(np.uint8).reshape(*rows.shape, 8).transpose(0, 2, 1).copy()
-    return pa.Codec("zstd", compression_level=1).compress(places.tobytes(), asbytes=True)
+    """Rows of POSTING in few bytes.
+
+    Hashes are sent as they are, and half only where it is not 0. Compressed are the rest of the key, the steps of the
+    ids, which mostly ascend, and at, the bytes of one place together.
+    """
+    long = rows[HALF] != 0
+    steps = np.stack((np.diff(rows[ID], prepend=0), rows[AT]))
+    places = steps.view(np.uint8).reshape(*steps.shape, 8).transpose(0, 2, 1).copy()
+    small = b"".join(((rows[KEY] >> 32).astype(np.uint8).tobytes(), long.tobytes(), places.tobytes()))
+    own = (long.sum(), rows[KEY].astype(np.uint32), rows[SID], rows[PAR], rows[HALF, long])
+    return b"".join((*(x.tobytes() for x in own), pa.Codec("zstd", compression_level=1).compress(small, asbytes=True)))
 
 
 def expanded(data: pa.Buffer, n: int) -> np.ndarray:
     """What squeezed() was given: n columns."""
-    raw = pa.Codec("zstd").decompress(data, len(POSTING) * n * 8)
-    rows = np.frombuffer(raw, np.uint8).reshape(len(POSTING), 8, n).transpose(0, 2, 1).copy().view(np.int64)[:, :, 0]
+    rows, m = np.zeros((len(POSTING), n), np.int64), np.frombuffer(data, np.int64, 1)[0]
+    small = pa.Codec("zstd").decompress(data[8 + 20 * n + 8 * m :], 18 * n)
+    rows[KEY] = np.frombuffer(small, np.uint8, n)
+    rows[KEY] <<= 32
+    rows[KEY] |= np.frombuffer(data, np.uint32, n, 8)
+    rows[SID : PAR + 1] = np.frombuffer(data, np.int64, 2 * n, 8 + 4 * n).reshape(2, n)
+    rows[HALF, np.frombuffer(small, bool, n, n)] = np.frombuffer(data, np.int64, m, 8 + 20 * n)
+    steps = np.frombuffer(small, np.uint8, 16 * n, 2 * n).reshape(2, 8, n)
+    rows[ID : AT + 1] = steps.transpose(0, 2, 1).copy().view(np.int64)[:, :, 0]
     rows[ID] = np.cumsum(rows[ID])
     return rows
 
@@ -253,8 +268,8 @@ def partners(lines: DataFrame, threshold: float) -> DataFrame:
     """
     listed = _listed(lines)
     with tidy(lines.sparkSession):
-        total = listed.agg(F.sum(F.size("keys"))).first()[0] or 0
-    buckets = 1 + total // BUCKET
+        total = listed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    buckets = 1 + total // 8 // BUCKET
 
     def pack(batches):
         held, many = [], 0
@@ -347,8 +362,10 @@ class Lists:
         n, pos = rows[AT] >> POS_BITS, rows[AT] & ((1 << POS_BITS) - 1)
         apart_of = most_apart(np.arange(2 * n.max() + 1), self.threshold) if n.max() < 1 << 20 else None
         index, got = np.arange(len(end)), []
+        after = end - index  # rows of the list from there on
         for d in range(1, length.max()):
-            index = index[index + d < end[index]]
+            more = after > d
+            index, after = index[more], after[more]
             got.append(self.passing(rows, n, pos, index, index + d, apart_of))
         i, j, apart = (np.concatenate(x) for x in zip(*got))
         other = (rows[SID : PAR + 1, i] != rows[SID : PAR + 1, j]).any(axis=0)  # a repeat is no partner of its class
@@ -366,13 +383,15 @@ class Lists:
 
     def passing(self, rows, n, pos, i, j, apart_of=None):
         """Which rows i and j pass the filters, and how many words differ at least."""
+        par, half = rows[PAR], rows[HALF]
         together = n[i] + n[j]
         most = most_apart(together, self.threshold) if apart_of is None else apart_of[together]
-        apart = _bits(rows[PAR, i] ^ rows[PAR, j])
+        both = par[i] ^ par[j]
+        apart = _bits(both)
         ok = np.flatnonzero((apart <= most) & (pos[i] + pos[j] <= most))
-        i, j, most, apart = i[ok], j[ok], most[ok], apart[ok].astype(np.int64)
-        half = rows[HALF, i] ^ rows[HALF, j]
-        split = _bits(half).astype(np.int64) + _bits(rows[PAR, i] ^ rows[PAR, j] ^ half)
+        i, j, most, both, apart = i[ok], j[ok], most[ok], both[ok], apart[ok].astype(np.int64)
+        part = half[i] ^ half[j]
+        split = _bits(part).astype(np.int64) + _bits(both ^ part)
         less, more = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         apart = np.where(less > SHORT_LINE, split, apart)
         ok = (apart <= most) & (less >= self.threshold * more - 1e-9)
@@ -410,7 +429,9 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 def _among_first(group: np.ndarray, by: np.ndarray, most: int) -> np.ndarray:
     """Which rows are among the `most` of their group that are least in `by`."""
-    order = np.lexsort((by, group))
+    least, width = (int(by.min()), int(by.max()) - int(by.min()) + 1) if len(by) else (0, 1)
+    one = len(group) > 0 and (int(group.max()) + 1) * width < 1 << 62  # both fit one number
+    order = np.argsort(group * width + (by - least)) if one else np.lexsort((by, group))
     g = group[order]
     start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))[: len(g)] if len(g) else np.zeros(0, np.int64)
     rank = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
@@ -480,15 +501,20 @@ def line_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number[some].astype(np.int32)), pa.array(text, pa.binary())], ["doc_id", "k", "line", "words"])
 
     found = docs.select("doc_id", "k", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, k bigint, line int, words binary")
-    found = found.select(F.struct("doc_id", "k", "line").alias("found"), F.col("k").alias("k_"), F.col("line").alias("line_"), F.col("words").cast("string").alias("words"))
+    found = found.select(F.struct("doc_id", "k", "line").alias("found"), F.col("k").alias("k_"), F.col("line").alias("line_"), "words")
     right = known.select(*CLASS, "first", F.col("first.k").alias("k_"), F.col("first.line").alias("line_"))
-    same = found.join(right, ["k_", "line_"]).filter(F.col("found").eqNullSafe(F.col("first")))
-    return same.groupBy(*CLASS).agg(F.first("first").alias("first"), F.first("words").alias("words"))
+    own = F.when(F.col("found").eqNullSafe(F.col("first")), F.col("words"))
+    once = found.join(right, ["k_", "line_"]).groupBy("k_", "line_", *CLASS)  # rows lie as the join dealt them
+    return once.agg(F.first("first").alias("first"), F.first(own, ignorenulls=True).alias("words")).filter("words is not null").select(*CLASS, "first", "words")
+
 
+def line_words(line: bytes) -> frozenset[bytes]:
+    return frozenset(line.lower().split())
 
-def _line_words(text: Column) -> Column:
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+
+def similar(a: frozenset, b: frozenset, threshold: float) -> bool:
+    shared = len(a & b)
+    return shared >= threshold * (len(a) + len(b) - shared) - 1e-9
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -497,12 +523,22 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: f
     known = stored(classes.select(*CLASS, "first").join(ids, CLASS, "left_semi"))
     texts = stored(line_texts(docs, known))
     a, b = (texts.select(*[F.col(c).alias(f"{c}{v}") for c in (*CLASS, "first", "words")]) for v in ("", "2"))
-    both = pairs.join(a, CLASS).join(b, ["sid2", "par2"])  # texts are sent, and split where they meet
-    sets = F.array(F.struct(_line_words(F.col("words")).alias("x"), _line_words(F.col("words2")).alias("y")))
-    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("shared"), (F.size(s["x"]) + F.size(s["y"])).alias("all")))
-    near = both.filter(F.exists(sizes, lambda s: s["shared"] >= threshold * (s["all"] - s["shared"]) - 1e-9))
-    later = F.when(F.col("first") < F.col("first2"), F.struct(F.col("sid2").alias("sid"), F.col("par2").alias("par"))).otherwise(F.struct(*CLASS))
-    out = stored(near.select(later.alias("x")).select("x.*").distinct())
+    both = pairs.join(a, CLASS).join(b, ["sid2", "par2"])  # texts are sent, and split in the tasks where they meet
+    later = F.col("first") < F.col("first2")
+    names = [F.when(later, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in CLASS]
+
+    def near(batches):
+        for b in batches:
+            sets: dict[bytes, frozenset] = {}
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                for t in (x, y):
+                    if t not in sets:
+                        sets[t] = line_words(t)
+                ok.append(similar(sets[x], sets[y], threshold))
+            yield b.select(CLASS).filter(pa.array(ok, pa.bool_()))
+
+    out = stored(both.select(*names, "words", "words2").mapInArrow(near, "sid bigint, par bigint").distinct())
     dropped(known, texts)
     return out
 
@@ -546,7 +582,7 @@ def left_open(lines: DataFrame, rest: DataFrame, classes: DataFrame, docs: DataF
                 found = now.meet(b.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], CLASS)
 
-    rows = dealt.select("key", "block", *CLASS, "half", "at", asked, F.col("words").cast("binary"))
+    rows = dealt.select("key", "block", *CLASS, "half", "at", asked, "words")
     out = stored(rows.mapInArrow(run, "sid bigint, par bigint").distinct())
     dropped(members, known, texts)
     return out
@@ -567,7 +603,7 @@ class Asked:
 
         def words_of(i: int) -> frozenset:
             if sets[i] is None:
-                sets[i] = frozenset(words[i].as_py().lower().split())
+                sets[i] = line_words(words[i].as_py())
             return sets[i]
 
         held = self.rows.shape[1]
@@ -580,9 +616,7 @@ class Asked:
             others = np.arange(before[x] + 1, b.num_rows)
             _, j, apart = self.lists.passing(both, n, pos, np.full(len(others), x), others + many)
             for y in j[np.argsort(apart, kind="stable")].tolist():
-                other = words_of(y - many)
-                shared = len(open_sets[x] & other)
-                if shared >= self.lists.threshold * (len(open_sets[x]) + len(other) - shared) - 1e-9:
+                if similar(open_sets[x], words_of(y - many), self.lists.threshold):
                     found.append(x)
                     break
         keep = np.setdiff1d(np.arange(many), found)
@@ -604,7 +638,7 @@ def dropped_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int
     if not rest.isEmpty():
         gone = gone.union(left_open(lines, rest, classes, docs, threshold)).distinct()
     touched = classes.join(gone.withColumn("later", F.lit(True)), CLASS, "left").filter("copies > 1 or later").select(*CLASS, "first", F.coalesce("later", F.lit(False)).alias("later"))
-    out = lines.select(*CLASS, "doc_id", "k", "line").join(touched, CLASS)
+    out = lines.select(*CLASS, "doc_id", "k", "line").join(touched.hint("shuffle_hash"), CLASS)  # one row a class
     out = out.filter(F.col("later") | (F.struct("doc_id", "k", "line") != F.col("first")))
     by_doc = stored(out.groupBy("doc_id", "k").agg(F.collect_set("line").alias("gone")))
     dropped(lines, classes, rest, gone)
@@ -624,11 +658,11 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_words: int =
     others = [F.col(f"`{c}`") for c in cols if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"), F.struct(*others).alias("_row"))
     by_doc = dropped_lines(keyed.select("doc_id", "k", "text"), threshold, min_words).withColumnsRenamed({"doc_id": "_id", "k": "_k"})
-    both = keyed.join(by_doc, (keyed["k"] == by_doc["_k"]) & keyed["doc_id"].eqNullSafe(by_doc["_id"]), "left")
-    both = both.select("doc_id", "text", "_row", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.split("text", "\n", -1).alias("all"))
+    both = keyed.join(by_doc.hint("shuffle_hash"), (keyed["k"] == by_doc["_k"]) & keyed["doc_id"].eqNullSafe(by_doc["_id"]), "left")
+    both = both.select("doc_id", "text", "_row", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.when(F.size("gone") > 0, F.split("text", "\n", -1)).alias("all"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "gone"), lambda i: F.get("all", i))
     text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(left, "\n"))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.size("all"))
+    count = F.when(F.col("text").isNull(), 0).otherwise(1 + F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))
     shown = [(text if c == "text" else F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`")).alias(c) for c in cols]
     return both.select(*shown, count.cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"))
 

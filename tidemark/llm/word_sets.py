@@ -1,37 +1,27 @@
 """Lines as ordered sets of word hashes, by whole-array operations on the bytes of many texts at once.
 
-Words are runs of other bytes than \\x20 and \\x09-\\x0D; A-Z count as a-z. A word's hash is the polynomial of its
-letters' numbers, taken from running sums, and mixed; words of more than LONG_WORD bytes are hashed by xxhash.
+Words are runs of other bytes than \\x20 and \\x09-\\x0D; A-Z count as a-z. A word's hash takes eight of its bytes at a
+time, and mixes them; words of more than LONG_WORD bytes are hashed by xxhash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import xxhash
 
-#: Texts are joined until they have so many bytes; sums run over so many bytes at once, which stay in the CPU's cache.
+#: Texts are joined until they have so many bytes.
 CHUNK = 400_000
-RUN = 120_000
 LONG_WORD = 64
 #: A token: so many bits of rank, then of hash. Lines are numbered by the bits that are left.
 RANK_BITS, HASH_BITS, LINE_BITS = 21, 30, 13
 TOKEN_BITS = RANK_BITS + HASH_BITS
 U = np.uint64
-
-
-@cache
-def numbers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A number for each byte, the powers of the polynomial's base, and their inverses modulo 2 ** 64."""
-    letter = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
-    letter[65:91] = letter[97:123]
-    base, size = 0x9E3779B97F4A7C15, RUN + 2 * LONG_WORD
-    power, inverse = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
-    power[0] = inverse[0] = 1
-    return letter, np.cumprod(power, dtype=U), np.cumprod(inverse, dtype=U)
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Which bits hold the first 0 to 8 bytes.
+FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 
 
 def mixed(x: np.ndarray, factor: int = 0xD6E8FEB86659FD93) -> np.ndarray:
@@ -52,28 +42,23 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[::2], at[1::2]
 
 
-def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hashes(text: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word."""
-    letter, power, inverse = numbers()
-    out, i = np.empty(len(start), U), 0
-    long = np.flatnonzero(end - start > LONG_WORD)
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + RUN, "right")))
-        first, last = int(start[i]), int(end[j - 1])
-        if last - first <= RUN:
-            value = letter[raw[first:last]]
-            value *= power[: last - first]
-            total = np.zeros(last - first + 1, U)
-            np.cumsum(value, out=total[1:])
-            s = start[i:j] - first
-            part = total[end[i:j] - first]
-            part -= total[s]
-            part *= inverse[s]
-            out[i:j] = part
-        i = j
-    for w in long.tolist():
-        out[w] = xxhash.xxh64_intdigest(raw[start[w] : end[w]].tobytes().lower())
-    return mixed(out)
+    text = text.translate(LOWER)
+    raw = np.frombuffer(text + bytes(8), np.uint8)
+    eight = np.ndarray(len(raw) - 7, "<u8", raw.data, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    out = eight[start] & FIRST[np.minimum(size, 8)]
+    out += size.astype(U) * U(0x9E3779B97F4A7C15)
+    out = mixed(out)
+    more, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        out[more] = mixed(out[more] ^ eight[start[more] + at] & FIRST[np.minimum(size[more] - at, 8)])
+        at += 8
+        more = more[size[more] > at]
+    for w in np.flatnonzero(size > LONG_WORD).tolist():
+        out[w] = xxhash.xxh64_intdigest(text[start[w] : end[w]])
+    return out
 
 
 class Lines(NamedTuple):
@@ -105,14 +90,15 @@ def text_lines(texts: Iterable[bytes | None]) -> Iterator[Lines]:
 
 
 def _lines(pieces: list[tuple[int, int, bytes]]) -> Lines:
-    raw = np.frombuffer(b"\n".join(p[2] for p in pieces), np.uint8)
+    joined = b"\n".join(p[2] for p in pieces)
+    raw = np.frombuffer(joined, np.uint8)
     start, end = words(raw)
     feeds = np.flatnonzero(raw == 10)
     count = np.diff(np.concatenate(([0], np.searchsorted(start, feeds), [len(start)])))
     own = np.array([p[2].count(b"\n") + 1 for p in pieces], np.int64)
     text = np.repeat(np.array([p[0] for p in pieces], np.int64), own)
     number = np.arange(len(count)) + np.repeat(np.array([p[1] for p in pieces], np.int64) - (np.cumsum(own) - own), own)
-    return Lines(text, number, count, hashes(raw, start, end))
+    return Lines(text, number, count, hashes(joined, start, end))
 
 
 class Sets(NamedTuple):
@@ -130,9 +116,8 @@ def ordered_sets(count: np.ndarray, word: np.ndarray, rank: np.ndarray) -> Sets:
     key.sort()
     keep = np.ones(len(key), bool)
     keep[1:] = key[1:] != key[:-1]
-    key = key[keep]
-    size = np.bincount((key >> U(TOKEN_BITS)).astype(np.int64), minlength=len(count))
-    return Sets(key & U((1 << TOKEN_BITS) - 1), np.cumsum(size) - size, size)
+    size = np.add.reduceat(keep, np.cumsum(count) - count, dtype=np.int64)  # each line's words lie where they lay
+    return Sets(key[keep] & U((1 << TOKEN_BITS) - 1), np.cumsum(size) - size, size)
 
 
 def within(length: np.ndarray) -> np.ndarray:
