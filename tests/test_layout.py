@@ -86,3 +86,14 @@ def test_expired_days_of_all_intervals_go(spark, tmp_path):
 def test_lookup_of_a_symbol_that_is_not_there(spark, stored):
     assert lookups.stored_bars(spark, stored, "1m", "none", "2024-01-02", "2024-01-03").collect() == []
     assert lookups.stored_bars(spark, stored, "4h", "s1", "2024-01-02", "2024-01-03").collect() == []
+
+
+def test_a_lookup_reads_its_pages_once(spark, tmp_path):
+    """A page has 20,000 rows, and a symbol lies on two at most: not read again to find the ranges of the sort."""
+    path = str(tmp_path / "t")
+    many = bars(spark, 300_000, symbols=300)
+    writers.write_laid_out(many.withColumn("date", F.to_date("timestamp")), path, ["interval", "date"], ["symbol", "timestamp"])
+    for symbol in ("s7", "s120", "s250"):
+        rows, metrics, _ = scan(spark, path, "1m", symbol, "2024-01-01", "2024-01-02")
+        times = [r.timestamp for r in rows]
+        assert len(times) == 1000 and times == sorted(times, reverse=True) and metrics["numOutputRows"] <= 40_000

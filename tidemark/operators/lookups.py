@@ -32,7 +32,7 @@ def stored_bars(spark: SparkSession, path: str, interval: str, symbol: str, star
     first, last = (dt.datetime.fromisoformat(t).date() for t in (start, end))
     schema = T.StructType([*OHLCV.schema.fields, T.StructField("date", T.DateType())])
     rows = spark.read.schema(schema).parquet(path).filter((F.col("interval") == interval) & F.col("date").between(F.lit(first), F.lit(last)))
-    return bars_range(rows, symbol, start, end).drop("date")
+    return bars_range(rows.repartition("timestamp"), symbol, start, end).drop("date")  # dealt once, or each sampling of the sort reads the files again
 
 
 def recent(df: DataFrame, time: str, n: int, symbol: str | None = None, *ties: str) -> DataFrame:
