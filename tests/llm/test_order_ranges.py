@@ -1,0 +1,38 @@
+"""Order MinHash on tables of many ranges; its tokens."""
+
+import re
+import time
+from bisect import bisect_right
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import order_minhash as om
+
+
+def test_a_row_does_not_read_the_marks_of_all_ranges(spark):
+    """100,000 rows in 4,900 ranges: each row looks at a few marks (all of them are 490 million)."""
+    df = spark.range(0, 100_000, 1, 8).select((F.col("id") * 11 - 300_000).alias("o"), F.xxhash64("id").alias("h"))
+    numbered = df.select("o", om._ranges(df, F.col("o"), F.col("h"), 20, 65_536).alias("r"))
+    began = time.time()
+    got = numbered.groupBy("r").agg(F.count("*").alias("n"), F.min("o").alias("least"), F.max("o").alias("most")).orderBy("r").collect()
+    assert time.time() - began < 10
+    assert len(got) == 4_900 and max(r.n for r in got) <= 40
+    assert all(x.most < y.least for x, y in zip(got, got[1:]))
+
+
+def test_ranges_begin_at_the_marks(spark):
+    """Every range but the first begins at a mark, for any number of marks."""
+    for n in (80, 90, 160, 250, 360):
+        df = spark.range(n).select((F.col("id") * 3).alias("o"), F.lit(0).cast("bigint").alias("h"))
+        rows = df.select("o", om._ranges(df, F.col("o"), F.col("h"), 20, 65_536).alias("r")).collect()
+        starts = sorted(min(x.o for x in rows if x.r == r) for r in {x.r for x in rows})
+        assert len(starts) == int((n // 20) ** 0.5) ** 2
+        assert all(bisect_right(starts, x.o) - 1 == x.r for x in rows)
+
+
+def test_tokens_equal_the_definition(spark):
+    texts = [None, "", " ", "\n a \t", "x" * 16, "x" * 17, "x" * 32 + " y", "日本語 テキスト한국어 abc日本" + "y" * 40 + "語", "a" * 15 + "日" + "b" * 16 + "日" + "c" * 17]
+    texts += ["   x\u0085y \x1c\x1f z\x0b\x0c\r", "😀" * 20 + " 😀😀", "⺀鿿가힣豈 ⹿ꀀ", r"$0 \1 $", "q " * 20]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", om.tokens(F.col("text")).alias("t")).collect():
+        assert r.t == re.findall("[⺀-鿿가-힣]|[^ \t\n\x0b\f\r⺀-鿿가-힣]{1,16}", r.text or ""), r.text
